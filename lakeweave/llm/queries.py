@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.llm import _common as c
-from lakeweave.llm import quality_rules
+from lakeweave.llm import bpe, quality_rules
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,20 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "host_blocked")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed vocabulary files are; operators take any path."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.table(spark, sf_dir, "documents")
+    return bpe.encode(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=False)
+
+
 def queries() -> dict:
     return {
         "op3_quality_rules": op3_quality_rules,
+        "op4_bpe": op4_bpe,
     }
