@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.llm import _common as c
-from lakeweave.llm import bpe, quality_rules
+from lakeweave.llm import bpe, quality_rules, simhash
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +28,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=False)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.table(spark, sf_dir, "documents")
+    prints = c.materialize(simhash.fingerprints(docs), "op10-prints")
+    found = simhash.near_duplicates(prints)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
     return {
         "op3_quality_rules": op3_quality_rules,
         "op4_bpe": op4_bpe,
+        "op10_simhash": op10_simhash,
     }
