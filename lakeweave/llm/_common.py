@@ -85,6 +85,15 @@ def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS) -> Iterator[pa.RecordB
         yield batch.slice(at, rows)
 
 
+def wrapped(df: DataFrame, **needed: Column) -> DataFrame:
+    """df's columns as one struct `_row`, beside the needed ones: no name of an operator can clash with the input's."""
+    return df.select(F.struct(*(F.col(f"`{n}`") for n in df.columns)).alias("_row"), *(x.alias(n) for n, x in needed.items()))
+
+
+def unwrapped(df: DataFrame) -> DataFrame:
+    return df.select("_row.*")
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A string column as Python strings; null is empty."""
     return [x or "" for x in batch.column(name).to_pylist()]

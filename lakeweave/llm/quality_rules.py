@@ -12,7 +12,8 @@ host's verdict goes back to its documents:
 
 Defined results: a null text has no words (and so fails the base rule); a null host is the empty host;
 repeated rows count and are judged one by one; an empty table gives an empty table; columns of the
-input are kept, and counts go to the names in ``COUNTS`` (columns of those names are replaced).
+input are kept, and counts go to the names in ``COUNTS`` (``with_counts`` replaces columns of those
+names, ``filter_documents`` keeps all as they are).
 """
 
 from __future__ import annotations
@@ -142,4 +143,5 @@ def judge(counted: DataFrame, host_col: str = "source", policy: HostPolicy = Hos
 
 def filter_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", policy: HostPolicy = HostPolicy()) -> DataFrame:
     """The documents that stay, with the columns they came with."""
-    return judge(with_counts(docs, text_col), host_col, policy).where("kept").select(*docs.columns)
+    rows = c.wrapped(docs, text=F.col(text_col), host=F.col(host_col))
+    return c.unwrapped(judge(with_counts(rows, drop_text=True), "host", policy).where("kept"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.llm import _common as c
-from lakeweave.llm import bpe, packing, quality_rules, simhash
+from lakeweave.llm import bpe, classifier, packing, quality_rules, simhash
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(c.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = classifier.train(docs, c.table(spark, sf_dir, "labels"))
+    scored = classifier.with_score(docs, weights, drop_text=True)
+    return scored.select("doc_id", (classifier.remainder() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.table(spark, sf_dir, "documents")
     prints = c.materialize(simhash.fingerprints(docs), "op10-prints")
@@ -44,5 +51,6 @@ def queries() -> dict:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_quality_rules": op3_quality_rules,
         "op4_bpe": op4_bpe,
+        "op6_quality_classifier": op6_quality_classifier,
         "op10_simhash": op10_simhash,
     }

@@ -162,5 +162,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     rows whose id is null all stay)."""
     marked = c.materialize(near_duplicates(c.materialize(fingerprints(docs, id_col, text_col, width), "simhash-prints"), id_col), "simhash-marked")
     first = marked.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(first, F.col(id_col).cast("long") == F.col("_keep"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    rows = c.wrapped(docs, _id=F.col(id_col).cast("long"))
+    kept = rows.join(first, F.col("_id") == F.col("_keep"), "left_semi").dropDuplicates(["_id"])
+    return c.unwrapped(kept.unionByName(rows.where("_id is null")))
