@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.llm import _common as c
-from lakeweave.llm import bpe, classifier, packing, quality_rules, simhash
+from lakeweave.llm import bpe, classifier, mpeg_audio, packing, quality_rules, simhash
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=False)
 
 
+def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = mpeg_audio.store_texts(c.table(spark, sf_dir, "documents"))
+    return mpeg_audio.with_features(stored, payload=True)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(c.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -48,6 +53,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_mpeg_audio": op1_mpeg_audio,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_quality_rules": op3_quality_rules,
         "op4_bpe": op4_bpe,
