@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.llm import _common as c
-from lakeweave.llm import bpe, classifier, mpeg_audio, packing, quality_rules, simhash
+from lakeweave.llm import bpe, classifier, html_main, mpeg_audio, packing, quality_rules, simhash
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (classifier.remainder() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(c.table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.table(spark, sf_dir, "documents")
     prints = c.materialize(simhash.fingerprints(docs), "op10-prints")
@@ -58,5 +62,6 @@ def queries() -> dict:
         "op3_quality_rules": op3_quality_rules,
         "op4_bpe": op4_bpe,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_html_extraction": op7_html_extraction,
         "op10_simhash": op10_simhash,
     }
