@@ -48,5 +48,13 @@ def _op3() -> str:
                NOT base_failed AND NOT host_blocked AND NOT failed AS kept, host_blocked FROM judged"""
 
 
+_OP9 = """
+    WITH pages_ AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+    digests AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest FROM pages_),
+    firsts AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM digests)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM firsts"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _op3()}
+    return {"op3_quality_rules": _op3(), "op9_warc": _OP9}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.llm import _common as c
-from lakeweave.llm import bpe, classifier, html_main, mpeg_audio, packing, quality_rules, simhash
+from lakeweave.llm import bpe, classifier, html_main, mpeg_audio, packing, quality_rules, simhash, warc
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(c.table(spark, sf_dir, "pages"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.archive(c.table(spark, sf_dir, "pages"), warc.new_folder(spark))
+    return warc.read_all(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.table(spark, sf_dir, "documents")
     prints = c.materialize(simhash.fingerprints(docs), "op10-prints")
@@ -63,5 +68,6 @@ def queries() -> dict:
         "op4_bpe": op4_bpe,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_html_extraction": op7_html_extraction,
+        "op9_warc": op9_warc,
         "op10_simhash": op10_simhash,
     }
