@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.llm import _common as c
-from lakeweave.llm import bpe, classifier, html_main, mpeg_audio, packing, quality_rules, simhash, warc
+from lakeweave.llm import bpe, classifier, html_main, mpeg_audio, packing, quality_rules, simhash, url_filter, warc
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,20 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(c.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+#: The rules that the url query is asked to apply.
+URL_RULES = (
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(c.table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = classifier.train(docs, c.table(spark, sf_dir, "labels"))
@@ -66,6 +80,7 @@ def queries() -> dict:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_quality_rules": op3_quality_rules,
         "op4_bpe": op4_bpe,
+        "op5_url_filter": op5_url_filter,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_html_extraction": op7_html_extraction,
         "op9_warc": op9_warc,
