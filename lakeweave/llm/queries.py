@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.llm import _common as c
-from lakeweave.llm import bpe, classifier, html_main, mpeg_audio, packing, quality_rules, simhash, url_filter, warc
+from lakeweave.llm import bpe, classifier, html_main, license_scan, mpeg_audio, packing, quality_rules, simhash, url_filter, warc
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,19 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(c.table(spark, sf_dir, "pages"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.scan(docs, license_scan.train(license_scan.background(docs)))
+    sure = F.filter("findings", lambda f: f["confirmed"])
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("findings").cast("long").alias("n_candidates"),
+        F.size(sure).cast("long").alias("n_licensed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda f: f["family"]))), ",").alias("families"),
+    )
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.archive(c.table(spark, sf_dir, "pages"), warc.new_folder(spark))
     return warc.read_all(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -83,6 +96,7 @@ def queries() -> dict:
         "op5_url_filter": op5_url_filter,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_html_extraction": op7_html_extraction,
+        "op8_license_scan": op8_license_scan,
         "op9_warc": op9_warc,
         "op10_simhash": op10_simhash,
     }
