@@ -388,3 +388,13 @@ def with_features(rows: DataFrame, media_col: str = "media", payload: bool = Fal
     rows = rows.drop(*new)
     fields = [f for f in rows.schema.fields if f.name != media_col]
     return rows.mapInArrow(lambda it: _features(it, media_col, payload), T.StructType([*fields, *(T.StructField(n, k) for n, k in new.items())]))
+
+
+def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """with_features(store_texts(docs), payload=True) in one Python pass: streams are stored, read back and described a
+    slice at a time, and never cross to the JVM."""
+    c.ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
+    new = {"n_bytes": T.LongType()} | FEATURES | PAYLOAD
+    schema = T.StructType([rows.schema[0], *(T.StructField(n, k) for n, k in new.items())])
+    return rows.mapInArrow(lambda it: _features(_store(it), "media", True), schema)

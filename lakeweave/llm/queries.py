@@ -29,8 +29,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = mpeg_audio.store_texts(c.table(spark, sf_dir, "documents"))
-    return mpeg_audio.with_features(stored, payload=True)
+    return mpeg_audio.store_and_read(c.table(spark, sf_dir, "documents"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

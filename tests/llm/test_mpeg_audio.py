@@ -119,6 +119,7 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, None, "a"), (1, "", "b"), (1, "", "b"), (2, "x" * 300_000, None)], "doc_id long, text string, media string")
     rows = m.with_features(m.store_texts(docs), payload=True).collect()
     assert sorted(r.payload_bytes for r in rows) == [576, 576, 576, 300_096] and len({r.media_sha256 for r in rows}) == 2
+    assert sorted(map(str, rows)) == sorted(map(str, m.store_and_read(docs).collect()))
     alien = spark.createDataFrame([(1, None, "x"), (2, bytearray(b""), "x"), (3, bytearray(b"no audio \xff\xfb here"), "x")], "id long, media binary, feature string")
     got = {r.id: r for r in m.with_features(alien).collect()}
     assert [(got[i].n_frames, got[i].feature) for i in (1, 2, 3)] == [(0, "none skipped=0"), (0, "none skipped=0"), (0, "none skipped=16")]
