@@ -46,6 +46,9 @@ REVISIT_BYTES = 1000
 #: An archive file is closed once it has so many bytes.
 ARCHIVE_BYTES = 64 << 20
 
+#: About so many archive bytes are read back in one task.
+READ_BYTES = 16 << 20
+
 #: Lines to a block of the index.
 BLOCK_LINES = 3000
 
@@ -204,10 +207,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], folder: str, block_lines: int) ->
 
 @dataclass(frozen=True)
 class Captures:
-    """Archives and their index: the folder of files, the written directory table."""
+    """Archives and their index: the folder of files, the written directory table, and the archives' bytes in all."""
 
     folder: str
     directory: DataFrame
+    archive_bytes: int
 
 
 def archive(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES, block_lines: int = BLOCK_LINES) -> Captures:
@@ -223,7 +227,7 @@ def archive(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES, a
     manifest = c.materialize(told.mapInArrow(lambda it: _write(it, f"{folder}/archives", archive_bytes), MANIFEST), "warc-manifest")
     order = ("urlkey", "page_id", "file", "offset")
     blocks = manifest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it: _blocks(it, f"{folder}/index", block_lines), DIRECTORY)
-    return Captures(folder, c.materialize(blocks, "warc-directory"))
+    return Captures(folder, c.materialize(blocks, "warc-directory"), manifest.agg(F.sum("length")).first()[0] or 0)
 
 
 # -- reading -------------------------------------------------------------------------------------
@@ -260,10 +264,12 @@ def _records(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
 
 
 def read_all(captures: Captures) -> DataFrame:
-    """RECORD rows of every capture: index blocks, then each archive's byte ranges in order."""
+    """RECORD rows of every capture: index blocks, then each archive's byte ranges in order. The index's rows are short and
+    what they point to is long, so the number of tasks follows the archives' bytes."""
     folder = captures.folder
+    tasks = max(captures.directory.sparkSession.sparkContext.defaultParallelism, -(-captures.archive_bytes // READ_BYTES))
     entries = captures.directory.select("shard", "offset", "length").repartition("shard", "offset").mapInArrow(lambda it: _entries(it, f"{folder}/index"), "file string, offset long, length long")
-    by_file = entries.repartition("file").sortWithinPartitions("file", "offset")
+    by_file = entries.repartition(tasks, "file").sortWithinPartitions("file", "offset")
     return by_file.mapInArrow(lambda it: _records(it, f"{folder}/archives"), RECORD)
 
 
