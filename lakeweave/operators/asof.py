@@ -29,8 +29,11 @@ def asof_backward(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str
     for i, k in enumerate(by):
         condition = condition & (keyed[k] == packed[f"_by{i}"])
     joined = keyed.join(packed, condition, "left")
-    early_enough = lambda r: (r["_rt"] <= F.col(left_ts)) & (seconds(left_ts) - F.unix_micros(r["_rt"].cast("timestamp")) / 1_000_000 <= width)
-    hit = F.element_at(F.filter("_rows", early_enough), -1)
-    picked = joined.withColumn("_hit", F.when(F.size(F.filter("_rows", early_enough)) > 0, hit))
-    lag = (F.unix_micros(F.col(left_ts).cast("timestamp")) - F.unix_micros(F.col("_hit._rt").cast("timestamp"))) / F.lit(60_000_000.0)
-    return picked.select(*left.columns, *(F.col(f"_hit._v.{t}").alias(t) for t in columns.values()), F.col("_hit._rt").alias(f"{right_ts}_matched"), lag.alias(lag_name))
+    # rows are in order of time: the last one that is not too late is the latest, and only that one can be recent enough
+    last = F.try_element_at(F.filter("_rows", lambda r: r["_rt"] <= F.col(left_ts)), F.lit(-1))
+    lag = F.unix_micros(F.col(left_ts).cast("timestamp")) - F.unix_micros(F.col("_last._rt").cast("timestamp"))
+    picked = joined.withColumn("_last", last).withColumn("_lag", lag).withColumn("_hit", F.when(F.col("_lag") <= width * 1_000_000, F.col("_last")))
+    return picked.select(
+        *left.columns, *(F.col(f"_hit._v.{t}").alias(t) for t in columns.values()), F.col("_hit._rt").alias(f"{right_ts}_matched"),
+        F.when(F.col("_hit").isNotNull(), F.col("_lag") / F.lit(60_000_000.0)).alias(lag_name),
+    )
