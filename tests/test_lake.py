@@ -270,6 +270,8 @@ def test_published_registry():
     assert sum(c.expected_rows for c in city.registry("/data").select("all")) == 2964624 + 3007526 + 3582628 + 265 + 8784 + 51885
 
 
-def test_borough_queries_broadcast_the_zones(spark):
-    plan = city.per_borough(spark.createDataFrame([(1, 2.0)], "pu_location_id int, fare_amount double"), spark.createDataFrame([(1, "Q")], "location_id bigint, borough string")).agg(F.count("*"))._jdf.queryExecution().toString()
+def test_borough_queries_broadcast_the_zones(spark, lake):
+    lake.table("zones").overwrite(spark.createDataFrame([(1, "Q")], "location_id bigint, borough string"))
+    trips = spark.createDataFrame([(1, 2.0)], "pu_location_id int, fare_amount double")
+    plan = city.per_borough(trips, lake.table("zones").read()).agg(F.count("*"))._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan and "Python" not in plan
