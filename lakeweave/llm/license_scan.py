@@ -38,6 +38,9 @@ UNKNOWN = "unknown"
 #: At most so many lines of the corpus, of at most so many characters, are shown to training as unknown.
 BACKGROUND_LINES, BACKGROUND_CHARS = 3000, 2000
 
+#: They are taken from about so many documents.
+BACKGROUND_DOCS = 600
+
 # Names under which licences are granted, then sentences of their usual notices, by family.
 FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "agpl": (("GNU Affero General Public License, version 3", "GNU AGPL version 3", "AGPL-3.0", "AGPLv3"), ("under the terms of the GNU Affero General Public License as published by the Free Software Foundation",)),
@@ -295,12 +298,16 @@ def _scan(batches: Iterator[pa.RecordBatch], get, threshold: float) -> Iterator[
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array(rows, _ARROW)], names=[b.schema.names[0], "n_paragraphs", "findings"])
 
 
-def background(docs: DataFrame, lines: int = BACKGROUND_LINES, text_col: str = "text") -> list[str]:
-    """The corpus lines whose hashes are lowest, without any that speaks of licences; bounded by `lines`."""
+def background(docs: DataFrame, lines: int = BACKGROUND_LINES, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
+    """Lines of the corpus without any that speaks of licences; bounded by `lines`, whatever the corpus's size.
+
+    They come from documents whose ids hash to 0 modulo a number that the row count sets, so that about BACKGROUND_DOCS
+    documents are looked at, and of those the lines whose own hashes are lowest."""
+    step = max(1, docs.count() // BACKGROUND_DOCS)
+    few = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(step)) == 0)
     line = F.explode(F.split(c.clean_text(text_col), "\n")).alias("line")
-    some = docs.select(line).where((F.length("line") <= BACKGROUND_CHARS) & F.col("line").rlike(r"\S") & ~F.col("line").rlike("(?i)licen[sc]|copyright|spdx|permission|redistribut|cc[ -]by"))
-    picked = some.where(F.pmod(F.xxhash64("line"), F.lit(64)) == 0).select("line").distinct().orderBy(F.xxhash64("line"), "line").limit(lines)
-    return [r["line"] for r in picked.collect()]
+    some = few.select(line).where((F.length("line") <= BACKGROUND_CHARS) & F.col("line").rlike(r"\S") & ~F.col("line").rlike("(?i)licen[sc]|copyright|spdx|permission|redistribut|cc[ -]by"))
+    return [r["line"] for r in some.distinct().orderBy(F.xxhash64("line"), "line").limit(lines).collect()]
 
 
 def scan(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
