@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 #: A join side of at most this many (narrow) rows may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 
+#: Rows of one Arrow batch, unless the session asks for another number than Spark's own default of 10,000: documents are
+#: long, and every running task holds a batch on either side of the pipe to its Python worker.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Rows that a Python loop turns into objects at once.
 SLICE_ROWS = 256
 
@@ -23,7 +28,9 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors, so that workers import it wherever the driver found it."""
+    """Give this package to the executors, so that workers import it wherever the driver found it, and bound Arrow batches."""
+    if spark.conf.get(_BATCH_CONF) == "10000":
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -42,7 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     place = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if place:
-        return place.rstrip("/")
+        place = place.rstrip("/")
+        return f"file://{place[5:]}" if place.startswith("file:/") and not place.startswith("file://") else place
     master = spark.sparkContext.master
     if not (master.startswith("local") and not master.startswith("local-cluster")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
