@@ -44,8 +44,9 @@ CAPACITY = 2048
 #: About so many pieces get one salt, and are numbered in one task.
 ROWS_PER_SALT = 20_000
 
-#: Words of up to so many characters are cached, so many to a worker; when full, the cache starts over.
-CACHE_WORDS, WORD_CHARS = 800_000, 48
+#: Words of up to so many characters are cached, about so many to a worker. A full cache stays as it is, as the commonest
+#: words come first, until it knows less than half of some texts' words.
+CACHE_WORDS, WORD_CHARS = 300_000, 48
 
 
 # -- tokens ------------------------------------------------------------------------------------
@@ -104,21 +105,15 @@ class ByteTokens:
     def encode(self, many: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         words = [None if self.odd.search(t) or any(s in t for s in self.special) else self.split.findall(t) for t in many]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = self._ask(list(set().union(*(w for w in words if w)).difference(self.known)))
         known = self.known
-        known.update((w, i) for w, i in new.items() if len(w) <= WORD_CHARS)
-        long = {w: i for w, i in new.items() if len(w) > WORD_CHARS}
-        out = []
-        for t, w in zip(many, words):
-            if w is None:
-                out.append(self._whole(t))
-            elif long:
-                out.append(b"".join([known[x] if x in known else long[x] for x in w]))
-            else:
-                out.append(b"".join(map(known.__getitem__, w)))
-        return out
+        here = {w: known.get(w) for w in set().union(*(w for w in words if w))}
+        new = self._ask([w for w, ids in here.items() if ids is None])
+        here |= new
+        if len(known) >= CACHE_WORDS and 2 * len(new) > len(here):
+            known.clear()  # other texts than those it was filled from
+        if len(known) < CACHE_WORDS:
+            known.update((w, ids) for w, ids in new.items() if len(w) <= WORD_CHARS)
+        return [self._whole(t) if w is None else b"".join(map(here.__getitem__, w)) for t, w in zip(many, words)]
 
 
 _loaded: dict[str, ByteTokens] = {}
