@@ -4,7 +4,8 @@ Markup is stripped to lines: each block element's text is one line, its characte
 and its white space turned into single spaces. Where a container that holds no content opens or
 closes (menus, headers, footers, sidebars, forms, notices, adverts, reader comments, told by element
 or by words of class, id and role), ``window`` empty lines stand in its place, so that its
-boundary shows in the lines' lengths whatever text stands around it. Text lengths are summed over
+boundary shows in the lines' lengths whatever text stands around it; outside an article element, a
+line most of whose text is links counts as empty too. Text lengths are summed over
 sliding windows of lines. A window over nothing is a dive point; the first window with text behind
 one is a surge point; the text between a surge and the next dive is a run of lines. The longest run
 opens the main text, and every run counts that is not boilerplate: in a page whose article element
@@ -73,8 +74,10 @@ def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
         value, key = next((v for v in values if v), "").lower(), key.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if key in ("class", "id", "role") and not _MARKS.isdisjoint(_WORD.findall(value)):
-            return True
+        if key in ("class", "id", "role"):
+            words = set(_WORD.findall(value))
+            if not _MARKS.isdisjoint(words - {"header"} if in_article else words):
+                return True
     return False
 
 
@@ -87,16 +90,22 @@ class _Lines:
         self.window = window
         self.article = 0
         self.aside = 0
+        self.anchor = False
+        self.linked = 0
 
     def text(self, raw: str) -> None:
         if not self.aside:
             self.parts.append(raw)
+            if self.anchor:
+                self.linked += len(raw.strip())
 
     def end(self) -> None:
         if self.parts:
             line = _SPACES.sub(" ", html.unescape("".join(self.parts))).strip()
-            self.parts = []
-            if line:
+            linked, self.parts, self.linked = self.linked, [], 0
+            if line and not self.article and 2 * linked > len(line):
+                self.out.extend([("", False)] * self.window)  # a menu without a container of its own
+            elif line:
                 self.out.append((line, self.article > 0))
 
     def gap(self) -> None:
@@ -113,8 +122,10 @@ def lines(page: str, window: int = WINDOW) -> list[tuple[str, bool]]:
             name, aside, article = stack.pop()
             if name in _BLOCKS:
                 into.end()
+            if name == "a":
+                into.anchor = False
             if aside:
-                into.parts = []
+                into.parts, into.linked = [], 0
                 into.aside -= 1
                 if not into.aside:
                     into.gap()
@@ -155,6 +166,8 @@ def lines(page: str, window: int = WINDOW) -> list[tuple[str, bool]]:
             continue
         if name == "br":
             into.text(" ")
+        if name == "a":
+            into.anchor = True
         if name in _BLOCKS:
             if (p := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), -1)) >= 0 and not any(x[0] in _BLOCKS for x in stack[p + 1 :]):
                 close(p)
