@@ -219,7 +219,7 @@ def archive(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES, a
     c.ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), c.clean_text("html").cast("binary").alias("html"))
     rows = rows.withColumn("sha1", F.sha1("html"))
-    narrow = rows.select("page_id", "sha1", F.octet_length("html").alias("n")).where(F.col("n") >= revisit_bytes)
+    narrow = c.materialize(rows.select("page_id", "sha1", F.octet_length("html").alias("n")).where(F.col("n") >= revisit_bytes), "warc-digests")
     stored = narrow.groupBy("sha1").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and first is not null")
     revisits = narrow.join(stored, "sha1").where("not page_id <=> first").select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), F.col("first").alias("refers_to"))
     revisits = c.materialize(revisits.distinct(), "warc-revisits")
