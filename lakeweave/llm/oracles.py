@@ -56,5 +56,87 @@ _OP9 = """
            CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM firsts"""
 
 
+# XXH64 (seed 42) in SQL: 64-bit arithmetic within 128-bit numbers. The five primes of the algorithm.
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+_SEED, _M = 42, 1 << 64
+
+
+def _times(x: str, p: int) -> str:
+    return f"((({x})::UHUGEINT * {p}::UHUGEINT) % {_M}::UHUGEINT)::UBIGINT"
+
+
+def _plus(x: str, y: str | int) -> str:
+    return f"((({x})::UHUGEINT + ({y})::UHUGEINT) % {_M}::UHUGEINT)::UBIGINT"
+
+
+def _turn(x: str, n: int) -> str:
+    return f"(({x})::UBIGINT >> {64 - n}) + ((({x})::UHUGEINT * {1 << n}::UHUGEINT) % {_M}::UHUGEINT)::UBIGINT"
+
+
+def _xor(x: str, y: str) -> str:
+    return f"xor(({x})::UBIGINT, ({y})::UBIGINT)"
+
+
+def _little(h: str, at: str, n: int) -> str:
+    """The n bytes from byte `at` on of a hex text, as a little-endian number."""
+    digits = " || ".join(f"substr({h}, 2 * ({at}) + {2 * i + 1}, 2)" for i in reversed(range(n)))
+    return f"CAST('0x' || {digits} AS UBIGINT)"
+
+
+def _xxh64(shingles: str) -> str:
+    """CTEs from `shingles`(rid, s) to `hashes`(rid, h)."""
+    lanes = lambda first, count, step: f"list_transform(generate_series(0, {count} - 1), lambda k: {_little('x', f'{first} + k * {step}', 8)})"
+    starts = [(_SEED + _P1 + _P2) % _M, (_SEED + _P2) % _M, _SEED, (_SEED - _P1) % _M]
+    sums = ", ".join(
+        f"list_reduce(list_prepend({v}::UBIGINT, {lanes(8 * j, 'n // 32', 32)}), lambda a, k: {_times(_turn(_plus('a', _times('k', _P2)), 31), _P1)}) AS v{j}" for j, v in enumerate(starts)
+    )
+    folded = "".join(
+        f"m{j + 1} AS (SELECT * EXCLUDE (a), {_plus(_times(_xor('a', _times(_turn(_times(f'v{j}', _P2), 31), _P1)), _P1), _P4)} AS a FROM m{j})," for j in range(4)
+    )
+    first = _plus(_plus(_turn("v0", 1), _turn("v1", 7)), _plus(_turn("v2", 12), _turn("v3", 18)))
+    eight = _plus(_times(_turn(_xor("a", _times(_turn(_times("k", _P2), 31), _P1)), 27), _P1), _P4)
+    four = _plus(_times(_turn(_xor("a", _times(_little("x", "n - n % 8", 4), _P1)), 23), _P2), _P3)
+    one = _times(_turn(_xor("a", _times("k", _P5)), 11), _P1)
+    rest = "n % 8 >= 4"
+    bytes_ = f"list_transform(generate_series(0, n % 4 - 1), lambda k: {_little('x', 'n - n % 4 + k', 1)})"
+    return f"""
+        texts AS (SELECT rid, hex(s) AS x, strlen(s) AS n FROM {shingles}),
+        short AS (SELECT rid, x, n, {(_SEED + _P5) % _M}::UBIGINT AS a FROM texts WHERE n < 32),
+        long AS (SELECT rid, x, n, {sums} FROM texts WHERE n >= 32),
+        m0 AS (SELECT *, {first} AS a FROM long), {folded}
+        started AS (SELECT rid, x, n, {_plus("a", "n")} AS a FROM (SELECT rid, x, n, a FROM short UNION ALL SELECT rid, x, n, a FROM m4)),
+        eights AS (SELECT rid, x, n, list_reduce(list_prepend(a, {lanes("n - n % 32", "(n % 32) // 8", 8)}), lambda a, k: {eight}) AS a FROM started),
+        fours AS (SELECT rid, x, n, CASE WHEN {rest} THEN {four} ELSE a END AS a FROM eights),
+        ones AS (SELECT rid, list_reduce(list_prepend(a, {bytes_}), lambda a, k: {one}) AS a FROM fours),
+        end1 AS (SELECT rid, {_times(_xor("a", "a >> 33"), _P2)} AS a FROM ones),
+        end2 AS (SELECT rid, {_times(_xor("a", "a >> 29"), _P3)} AS a FROM end1),
+        hashes AS (SELECT rid, {_xor("a", "a >> 32")} AS h FROM end2)"""
+
+
+def _op10() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    bits = " + ".join(f"CASE WHEN 2 * sum((h >> {b}) & 1) > count(*) THEN {1 << b}::UHUGEINT ELSE 0::UHUGEINT END" for b in range(64))
+    return rf"""
+        WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{_WORD}') AS w FROM documents),
+        shingles AS (SELECT rid, unnest(list_transform(generate_series(1, greatest(1, len(w) - 2)), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM docs WHERE len(w) > 0),
+        {_xxh64("shingles")},
+        prints AS (SELECT rid, ({bits})::UBIGINT AS f FROM hashes GROUP BY rid),
+        marked AS (SELECT doc_id, coalesce(f, 0)::UBIGINT AS f FROM docs LEFT JOIN prints USING (rid)),
+        nodes AS (SELECT f, min(doc_id) AS least FROM marked GROUP BY f),
+        links AS (SELECT a.f AS a, b.f AS b FROM nodes a, nodes b WHERE bit_count(xor(a.f, b.f)) <= 3),
+        reach AS (SELECT f AS a, f AS b FROM nodes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        named AS (SELECT a AS f, min(least) AS component_id FROM reach JOIN nodes ON reach.b = nodes.f GROUP BY a)
+        SELECT doc_id, lower(printf('%016x', f)) AS fingerprint, component_id FROM marked JOIN named USING (f)"""
+
+
+# The pages of the driver's tables mark their main text up as one article of h1 and p blocks; that is read here plainly.
+_OP7 = r"""
+    WITH articles AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+    blocks AS (SELECT page_id, url, string_split_regex(regexp_replace(regexp_replace(a, '</?b>', '', 'g'), '<br>', ' ', 'g'), '</?(p|h1)>') AS b FROM articles),
+    plain AS (SELECT page_id, url, list_transform(b, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS b FROM blocks),
+    texts AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM plain)
+    SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _op3(), "op9_warc": _OP9}
+    return {"op3_quality_rules": _op3(), "op7_html_extraction": _OP7, "op9_warc": _OP9, "op10_simhash": _op10()}
