@@ -7,6 +7,7 @@ library's operators; what the operators mean is said once more, independently, b
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +16,13 @@ from pyspark.sql import functions as F
 from lakeweave.contracts import Contract, Field, Grain, Rule
 from lakeweave.functions import derive as d
 from lakeweave.operators import asof, dedup, profiling, quality
-from lakeweave.operators.enrich import Lookup, enrich, unmatched_keys
+from lakeweave.operators.enrich import Lookup, enrich, misses, unmatched_keys
 from lakeweave.operators.grain import lower_median, reduce_to
 from lakeweave.operators.shaping import shape
 from lakeweave.plans import ingest, layouts
 from lakeweave.sources.reading import from_rows, read_source, with_lineage
 from lakeweave.sources.scratch import scratch_lake
+from lakeweave.streaming import arrivals
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
@@ -504,6 +506,47 @@ def q_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("l_orderkey", "l_linenumber", "l_partkey", "supplier_nationkey", "supplier_nation", "supplier_match_status", "nation_match_status")
 
 
+@query("SELECT 'orders' AS dataset_key, count(*) AS rows_read, count(*) FILTER (WHERE o_orderstatus = 'F' OR o_totalprice < 20000) AS rows_quarantined FROM orders")
+def q_latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest successful run of each source, of two that were forced."""
+    lake = scratch_lake(spark)
+    for _ in range(2):
+        ingest.ingest(spark, lake, order_contract(f"{sf_dir}/orders.parquet"), force=True)
+    return ingest.latest_runs(lake).select("dataset_key", "rows_read", "rows_quarantined")
+
+
+@query(f"SELECT o_orderkey, NOT {_ORDER_BAD} AS accepted FROM orders")
+def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row-local rules over files as they arrive."""
+    lake = scratch_lake(spark)
+    contract = replace(order_contract(), unique=())
+    landing = f"{lake.root}/landing"
+    read(spark, sf_dir, "orders").write.parquet(landing)
+    arrivals.land(spark, lake, contract, landing, f"{lake.root}/stream").awaitTermination()
+    good = ingest.silver(lake, "orders").select("o_orderkey", F.lit(True).alias("accepted"))
+    return good.unionByName(ingest.quarantine(lake, "orders").select("o_orderkey", F.lit(False).alias("accepted")))
+
+
+@query("""
+    SELECT s_suppkey, n_name AS supplier_nation, n_nationkey IS NULL AS quarantined FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 1) ON s_nationkey = n_nationkey""")
+def q_missing_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a match of a lookup that must match are set aside."""
+    nation = read(spark, sf_dir, "nation").where("n_regionkey <> 1")
+    looks = [Lookup("nation", nation, "s_nationkey", "n_nationkey", {"n_name": "nation"}, "supplier_", on_miss="quarantine")]
+    return enrich(read(spark, sf_dir, "supplier"), looks).select("s_suppkey", "supplier_nation", misses(looks, "quarantine").alias("quarantined"))
+
+
+@query("""
+    SELECT 'orders' AS table_name, (SELECT count(*) FROM orders) AS rows, (SELECT count(*) FILTER (WHERE o_totalprice > 100000) FROM orders) AS counted,
+           (SELECT count(DISTINCT o_orderstatus) FROM orders) AS statuses""")
+def q_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile of all columns in one pass, with a counted predicate."""
+    rows = read(spark, sf_dir, "orders")
+    found = profiling.profile_columns(rows, {"dear": "o_totalprice > 100000"})
+    values = profiling.distinct_values(rows, ["o_orderstatus"])
+    return from_rows(spark, [("orders", found["rows"], found["counts"]["dear"], len(values["o_orderstatus"]))], "table_name string, rows long, counted long, statuses long")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, (f, _) in QUERIES.items()}
 
