@@ -134,8 +134,9 @@ def links(nodes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     keyed = nodes.select(
         "fp", "rep", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in MASKS))).alias("t", "key")
     )
-    shared = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    meet = c.materialize(keyed.join(shared, ["t", "key"]), "simhash-buckets")
+    # most buckets hold one node: they are counted with partial sums, and only nodes of the others move on
+    shared = c.materialize(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-shared")
+    meet = c.materialize(keyed.join(c.guarded(shared), ["t", "key"]), "simhash-buckets")
     edge = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
     small = meet.where(F.col("n") <= bucket_rows).groupBy("t", "key").agg(F.collect_list(F.struct("fp", "rep")).alias("rows"))
     found = small.select("rows").mapInArrow(_stars, edge)
