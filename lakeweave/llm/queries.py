@@ -54,7 +54,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = classifier.train(docs, c.table(spark, sf_dir, "labels"))
     scored = classifier.with_score(docs, weights, drop_text=True)
-    return scored.select("doc_id", (classifier.remainder() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(classifier.remainder() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
