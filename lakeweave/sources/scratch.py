@@ -12,7 +12,7 @@ from lakeweave.sources.snapshots import Lake
 
 def scratch_lake(spark: SparkSession) -> Lake:
     """A new lake below spark.checkpoint.dir; in local mode, if that is unset, below this machine's temporary folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
