@@ -46,17 +46,14 @@ def ship(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode only, one of our own."""
-    conf = spark.sparkContext.getConf()
-    place = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if place:
         place = place.rstrip("/")
         return f"file://{place[5:]}" if place.startswith("file:/") and not place.startswith("file://") else place
     master = spark.sparkContext.master
     if not (master.startswith("local") and not master.startswith("local-cluster")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    place = "file://" + os.path.join(tempfile.gettempdir(), f"lakeweave-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", place)
-    return place
+    return "file://" + os.path.join(tempfile.gettempdir(), f"lakeweave-{spark.sparkContext.applicationId}")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -108,3 +108,7 @@ def test_no_shared_folder_on_a_cluster_is_refused(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         c.shared_dir(Session())
+    Context.master = "local[2]"
+    assert c.shared_dir(Session()).startswith("file:///") and c.shared_dir(Session()).endswith("lakeweave-a")
+    monkeypatch.setattr(Conf, "get", lambda self, key, default=None: "file:/shared/x/")
+    assert c.shared_dir(Session()) == "file:///shared/x"
