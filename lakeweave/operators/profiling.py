@@ -13,10 +13,6 @@ from lakeweave.sources.storage import Store
 LISTED_VALUES = 100
 
 
-def _distinct_limited(column: str, estimate: int) -> bool:
-    return estimate <= LISTED_VALUES
-
-
 def profile_columns(rows: DataFrame, predicates: dict[str, str] | None = None) -> dict:
     """Row count, and for each column nulls, least, greatest and estimated distinct values; predicates are counted by name.
     One pass; an action."""
@@ -37,7 +33,7 @@ def profile_columns(rows: DataFrame, predicates: dict[str, str] | None = None) -
 def distinct_values(rows: DataFrame, columns: list[str]) -> dict[str, list | None]:
     """The sorted values of each column that has few; None for one that has many. Two actions."""
     estimates = rows.agg(*(F.approx_count_distinct(f"`{n}`").alias(f"c{i}") for i, n in enumerate(columns))).first()
-    few = [n for i, n in enumerate(columns) if _distinct_limited(n, estimates[f"c{i}"])]
+    few = [n for i, n in enumerate(columns) if estimates[f"c{i}"] <= LISTED_VALUES]
     found = rows.agg(*(F.array_sort(F.collect_set(f"`{n}`")).alias(f"c{i}") for i, n in enumerate(few))).first() if few else {}
     return {n: (found[f"c{few.index(n)}"] if n in few else None) for n in columns}
 

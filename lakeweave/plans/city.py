@@ -10,7 +10,7 @@ from lakeweave.functions.derive import hour_bucket, zone_to_utc
 from lakeweave.operators.enrich import Lookup, enrich, observe, verify
 from lakeweave.operators.grain import lower_median
 from lakeweave.plans import ingest, layouts
-from lakeweave.sources.snapshots import Lake
+from lakeweave.sources.snapshots import Lake, Segment
 
 GOLD = "gold_integrated_taxi_trips"
 CITY_ZONE = "America/New_York"
@@ -192,13 +192,10 @@ def integrate(spark: SparkSession, lake: Lake, on_zone_miss: str = "fail") -> di
     staged = lake.stage(gold.withColumn("_lost", lost & F.lit(on_zone_miss == "quarantine")), ("_lost", "source_file_month"))
     metrics = seen.get
     verify(metrics, looks, trip_rows.count())
-    schema = gold.schema
-    from lakeweave.sources.snapshots import Segment
-
     for name, value in ((GOLD, "false"), (f"quarantine_{GOLD}", "true")):
         at = f"{staged.path}/_lost={value}"
         there = [Segment(at, at)] if lake.store.exists(f"{lake.root}/{at}") else []
-        lake.table(name).adopt(there, schema, ("source_file_month",), mode="overwrite")
+        lake.table(name).adopt(there, gold.schema, ("source_file_month",), mode="overwrite")
     return {"status": "success", "metrics": metrics, "gold_rows": lake.table(GOLD).read().count()}
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeweave.contracts import LINEAGE, Contract, ContractError, Registry
+from lakeweave.contracts import Contract, ContractError, Registry
 from lakeweave.operators import quality
 from lakeweave.operators.grain import reduce_to
 from lakeweave.operators.shaping import shape
@@ -22,7 +22,7 @@ from lakeweave.sources.reading import read_source, with_lineage
 from lakeweave.sources.snapshots import Lake, Segment
 from lakeweave.sources.storage import Store
 
-LEDGER = "ledger/runs"
+LEDGER = "ledger_runs"
 RUN = T.StructType(
     [T.StructField(n, T.StringType(), False) for n in ("run_id", "dataset_key", "dataset_name", "source_file", "source_sha256", "schema_version")]
     + [T.StructField(n, T.LongType(), False) for n in ("rows_read", "rows_accepted", "rows_quarantined", "rows_warned")]
@@ -34,7 +34,7 @@ _COUNTS = ("rows_read", "rows_accepted", "rows_quarantined", "rows_warned")
 
 def ledger(lake: Lake) -> DataFrame:
     """All runs: success, failed and skipped."""
-    table = lake.table(LEDGER.replace("/", "_"))
+    table = lake.table(LEDGER)
     table.create(RUN)
     return table.read()
 
@@ -82,7 +82,7 @@ def ingest(spark: SparkSession, lake: Lake, contract: Contract, path: str | None
 
     def record(status: str, error: str | None = None) -> dict:
         row = run | {"finished_at": _now(), "status": status, "error_message": error}
-        lake.table(LEDGER.replace("/", "_")).append(spark.createDataFrame([tuple(row[n] for n in RUN.fieldNames())], RUN))
+        lake.table(LEDGER).append(spark.createDataFrame([tuple(row[n] for n in RUN.fieldNames())], RUN))
         return row
 
     try:
@@ -150,5 +150,3 @@ def audit(lake: Lake, contract: Contract) -> dict:
     out["unique_keys"] = rows.select(*keys).distinct().count() == out["silver_rows"] if keys else None
     return out
 
-
-__all__ = ["LEDGER", "LINEAGE", "RUN", "already_done", "audit", "bronze", "ingest", "ingest_all", "latest_runs", "ledger", "quarantine", "silver"]
