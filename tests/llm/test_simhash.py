@@ -93,3 +93,29 @@ def test_components_of_a_long_path_and_a_hub(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(path + hub + [(7, 7), (3, 2)], "u long, v long")).collect()}
     assert got == {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1200)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_keep_one_of_repeated_ids_either_way(spark, monkeypatch):
+    from lakeweave.llm import _common as c
+
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(12)]
+    rows = [(rng.randrange(20), rng.choice(texts), "x") for _ in range(80)] + [(None, texts[0], "x")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _found string")
+    link = {}
+    for i, t, _ in rows:  # rows with one id, or one text, are one group
+        if i is not None:
+            link.setdefault(("t", t), set()).add(i)
+    groups = []
+    for ids in link.values():
+        ids = set(ids)
+        for g in [g for g in groups if g & ids]:
+            groups.remove(g)
+            ids |= g
+        groups.append(ids)
+    want = sorted(min(g) for g in groups)
+    for limit in (200_000, 0):
+        monkeypatch.setattr(c, "BROADCAST_ROWS", limit)
+        kept = simhash.keep_one(docs).collect()
+        assert sorted(r.doc_id for r in kept if r.doc_id is not None) == want
+        assert sum(r.doc_id is None for r in kept) == 2 and all(r._found == "x" for r in kept)
