@@ -48,6 +48,14 @@ ROWS_PER_SALT = 20_000
 #: words come first, until it knows less than half of some texts' words.
 CACHE_WORDS, WORD_CHARS = 300_000, 48
 
+#: The library is asked for so many words at a time.
+CALL_WORDS = 16_000
+
+#: Texts are split into words together up to so many characters.
+CALL_CHARS = 2_000_000
+
+_BLANKS = frozenset("\t\n\x0b\x0c\r \xa0")
+
 
 # -- tokens ------------------------------------------------------------------------------------
 
@@ -86,21 +94,28 @@ class ByteTokens:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _ask(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of many words by one call; they come as one row, which is cut where the words' bytes end."""
-        if not words:
-            return {}
-        (found,) = self.library.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)))
+        """Ids of many words by few calls; they come as one row, which is cut where the words' bytes end.
+
+        Words that a blank begins stay apart when they are written one behind the other; others go as a list."""
+        apart = [w for w in words if len(w) > 1 and w[0] == " " and w[1] not in _BLANKS]
+        out: dict[str, bytes] = {}
+        for at in range(0, len(apart), CALL_WORDS):
+            some = apart[at : at + CALL_WORDS]
+            out |= self._cut(some, self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids)
+        if len(apart) < len(words):
+            some = [w for w in words if w not in out]
+            out |= self._cut(some, self.library.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids)
+        return out
+
+    def _cut(self, words: list[str], found: list[int]) -> dict[str, bytes]:
+        ids = np.array(found, "<u4")
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)))
         token_ends = np.cumsum(self.lengths[ids])
         cuts = np.searchsorted(token_ends, ends) + 1
-        if not np.array_equal(token_ends[cuts - 1], ends):
+        if cuts[-1] != len(ids) or not np.array_equal(token_ends[cuts - 1], ends):
             return {w: self._whole(w) for w in words}
-        packed, at, out = ids.tobytes(), 0, {}
-        for w, to in zip(words, (cuts * 4).tolist()):
-            out[w] = packed[at:to]
-            at = to
-        return out
+        packed, to = ids.tobytes(), (4 * cuts).tolist()
+        return dict(zip(words, map(packed.__getitem__, map(slice, [0, *to], to))))
 
     def encode(self, many: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -135,9 +150,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
     tokens = load(path)
     end = end_id.to_bytes(4, "little")
     for whole in batches:
-        for b in c.slices(whole):
+        many = c.texts(whole)
+        for first, last in _spans(many):
             at, number, start, length, crc = [], [], [], [], []
-            for row, ids in enumerate(tokens.encode(c.texts(b))):
+            for row, ids in enumerate(tokens.encode(many[first:last]), first):
                 ids += end
                 for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
                     at.append(row)
@@ -146,11 +162,23 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
                     length.append(n)
                     crc.append(zlib.crc32(ids[4 * s : 4 * (s + n)]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                [whole.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
 
+def _spans(many: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about CALL_CHARS characters, or one longer text."""
+    first = total = 0
+    for i, t in enumerate(many):
+        if total and total + len(t) > CALL_CHARS:
+            yield first, i
+            first, total = i, 0
+        total += len(t)
+    if first < len(many):
+        yield first, len(many)
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece of each document; a pass without a shuffle."""
     c.ship(docs.sparkSession)
