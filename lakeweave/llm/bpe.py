@@ -220,3 +220,19 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     if keep_ids:
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
     return rows.mapInArrow(lambda it: _encode(it, path, id_col, keep_ids), T.StructType(fields))
+
+
+def _decode(batches: Iterator[pa.RecordBatch], path: str, ids_col: str) -> Iterator[pa.RecordBatch]:
+    bpe = load(path)
+    for whole in batches:
+        for b in c.slices(whole):
+            out = pa.array([None if ids is None else bpe.decode(ids) for ids in b.column(ids_col).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "decoded"])
+
+
+def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
+    """rows and `decoded` (a column of that name is replaced): the text of an array of ids. Null gives null; ids that the
+    vocabulary lacks, and null ids, are left out."""
+    c.ship(rows.sparkSession)
+    rows = rows.drop("decoded")
+    return rows.mapInArrow(lambda it: _decode(it, path, ids_col), T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
