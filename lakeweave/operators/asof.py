@@ -2,38 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def asof_backward(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, *, by: tuple[str, ...] = (), horizon_minutes: int = 60, columns: dict[str, str], lag_name: str = "lag_minutes") -> DataFrame:
     """Each left row with the latest right row at or before its time, at most the horizon before, and how many minutes
-    before that was. Equal right times: the greatest values win. Null times match nothing; no left row is lost.
+    before that was. Equal right times: the greatest values win. Null times and keys match nothing; no left row is lost.
 
-    An equi-join on (by, bucket): a right row stands in its bucket's and the next one's, where buckets are as long as the
-    horizon. The right side is first reduced to one row for each (by, time); a left row's candidates are folded before
-    they leave their bucket, so work is bounded by the rows of one horizon.
+    Both sides are dealt by (by, bucket), where buckets are as long as the horizon and a right row stands in its own and
+    the next one, and sorted by time; a running last value then meets every left row. No group is ever held in memory,
+    and keys without `by` are still dealt over all buckets.
     """
     width = horizon_minutes * 60
-    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (width * 1_000_000))
     value = F.struct(*(F.col(s).alias(t) for s, t in columns.items()))
-    latest = right.where(F.col(right_ts).isNotNull()).groupBy(*by, right_ts).agg(F.max(value).alias("_v"))
-    side = latest.select(
-        *(F.col(k).alias(f"_by{i}") for i, k in enumerate(by)), F.col(right_ts).alias("_rt"), "_v",
-        F.explode(F.sequence(F.floor(seconds(right_ts) / width), F.floor(seconds(right_ts) / width) + 1)).alias("_bucket"),
+    keys = [f"_by{i}" for i in range(len(by))]
+    known = F.col(right_ts).isNotNull()
+    for k in by:
+        known = known & F.col(k).isNotNull()
+    latest = right.where(known).groupBy(*by, right_ts).agg(F.max(value).alias("_v"))
+    rights = latest.select(
+        *(F.col(k).alias(n) for k, n in zip(by, keys)), F.explode(F.array(bucket(right_ts), bucket(right_ts) + 1)).alias("_bucket"),
+        F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.struct(F.col(right_ts).alias("_rt"), "_v").alias("_pair"),
     )
-    # the buckets' rows as one sorted array for each (by, bucket): a left row meets one row, and picks from it
-    packed = side.groupBy(*(f"_by{i}" for i in range(len(by))), "_bucket").agg(F.array_sort(F.collect_list(F.struct("_rt", "_v"))).alias("_rows"))
-    keyed = left.withColumn("_lb", F.floor(seconds(left_ts) / width))
-    condition = keyed["_lb"] == packed["_bucket"]
-    for i, k in enumerate(by):
-        condition = condition & (keyed[k] == packed[f"_by{i}"])
-    joined = keyed.join(packed, condition, "left")
-    # rows are in order of time: the last one that is not too late is the latest, and only that one can be recent enough
-    last = F.try_element_at(F.filter("_rows", lambda r: r["_rt"] <= F.col(left_ts)), F.lit(-1))
-    lag = F.unix_micros(F.col(left_ts).cast("timestamp")) - F.unix_micros(F.col("_last._rt").cast("timestamp"))
-    picked = joined.withColumn("_last", last).withColumn("_lag", lag).withColumn("_hit", F.when(F.col("_lag") <= width * 1_000_000, F.col("_last")))
+    lefts = left.select(
+        *(F.col(k).alias(n) for k, n in zip(by, keys)), bucket(left_ts).alias("_bucket"), F.col(left_ts).alias("_t"), F.lit(1).alias("_side"),
+        F.struct(*(F.col(f"`{c}`") for c in left.columns)).alias("_row"),
+    )
+    both = lefts.unionByName(rights, allowMissingColumns=True)
+    # at equal times right rows come first
+    before = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("_last", F.last("_pair", ignorenulls=True).over(before)).where("_side = 1")
+    lag = F.unix_micros(F.col("_t").cast("timestamp")) - F.unix_micros(F.col("_last._rt").cast("timestamp"))
+    picked = met.withColumn("_lag", lag).withColumn("_hit", F.when(F.col("_lag") <= width * 1_000_000, F.col("_last")))
     return picked.select(
-        *left.columns, *(F.col(f"_hit._v.{t}").alias(t) for t in columns.values()), F.col("_hit._rt").alias(f"{right_ts}_matched"),
+        "_row.*", *(F.col(f"_hit._v.{t}").alias(t) for t in columns.values()), F.col("_hit._rt").alias(f"{right_ts}_matched"),
         F.when(F.col("_hit").isNotNull(), F.col("_lag") / F.lit(60_000_000.0)).alias(lag_name),
     )

@@ -46,6 +46,7 @@ AIR_FIELDS = tuple(
         "Method Name": "string", "State Name": "string", "County Name": "string", "Date of Last Change": "date",
     }.items()
 )
+# The five counties of the city.
 COUNTIES = ("Bronx", "Kings", "New York", "Queens", "Richmond")
 
 _ID = ("vendor_id", "pickup_ts_local", "dropoff_ts_local", "pu_location_id", "do_location_id", "fare_amount", "total_amount")
