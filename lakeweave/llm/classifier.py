@@ -44,7 +44,7 @@ class Ftrl:
 
 
 #: Words that a worker keeps with their hashes; when full, the cache starts over.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 _CAPITALS = re.compile(rb"[A-Z]{2,}")
