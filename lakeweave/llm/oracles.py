@@ -138,5 +138,37 @@ _OP7 = r"""
     SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts"""
 
 
+def _op1() -> str:
+    """Streams spelt out in hexadecimal. The frames' headers with their CRC-16 and nine bytes of side information."""
+    lead = {144: "FFF2D8C0E1F0000000000000000000", 160: "FFF2E8C01DFA000000000000000000"}
+    crc = lambda pairs: f"xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform({pairs}, lambda p: CAST('0x' || p AS UBIGINT))), lambda a, b: xor(a >> 8, crcs[CAST(xor(a, b) & 255 AS INTEGER) + 1])), 4294967295::UBIGINT)"
+    bit = "list_reduce(list_prepend(i::UBIGINT, [0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT]), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)"
+    seven = lambda n: " || ".join(f"printf('%02X', (({n}) >> {s}) & 127)" for s in (21, 14, 7, 0))
+    field = lambda name, value: f"'54585858' || {seven(f'{len(name) + 2} + length({value})')} || '0000' || '03{name.encode().hex().upper()}00' || hex({value})"
+    ends = lambda j: f"(648 + (({j}) // 2) * 1368 + (({j}) % 2) * 648)"
+    return rf"""
+        WITH crcs AS (SELECT list({bit} ORDER BY i) AS crcs FROM (SELECT unnest(generate_series(0, 255)) AS i)),
+        raw AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        padded AS (SELECT rid, doc_id, length(h) // 2 AS n_bytes, h || repeat('FF', CASE WHEN h = '' THEN 576 ELSE (576 - (length(h) // 2) % 576) % 576 END) AS h FROM raw),
+        payloads AS (SELECT *, length(h) // 2 AS payload_bytes, length(h) // 1152 AS n FROM padded),
+        sums AS (SELECT p.*, {crc("regexp_extract_all(h, '..')")} AS crc, {crc("regexp_extract_all(right(h, 64), '..')")} AS tail_crc32 FROM payloads p, crcs),
+        told AS (SELECT *, {ends("n")} AS total, n_bytes::VARCHAR AS told_bytes, printf('%08x', crc) AS told_crc FROM sums),
+        tagged AS (SELECT *, {field("payload_bytes", "told_bytes")} || {field("payload_crc32", "told_crc")} AS fields FROM told),
+        parts AS (
+            SELECT *, '494433040000' || {seven("length(fields) // 2")} || fields AS tag,
+                   '{lead[144]}' || hex('Xing') || '00000007' || printf('%08X', n) || printf('%08X', total)
+                   || array_to_string(list_transform(generate_series(0, 99), lambda i: printf('%02X', least(255, 256 * {ends("i * n // 100")} // total))), '') || repeat('00', 517) AS first,
+                   array_to_string(list_transform(generate_series(0, n - 1), lambda i: CASE WHEN i % 2 = 0 THEN '{lead[144]}' || substr(h, i * 1152 + 1, 1152) || repeat('00', 57) ELSE '{lead[160]}' || substr(h, i * 1152 + 1, 1152) || repeat('00', 129) END), '') AS frames
+            FROM tagged),
+        media AS (SELECT *, unhex(tag || first || frames) AS m, length(tag) // 2 AS ahead FROM parts)
+        SELECT doc_id, n_bytes::BIGINT AS n_bytes, payload_bytes::BIGINT AS payload_bytes, sha256(unhex(h)) AS payload_sha256, tail_crc32::BIGINT AS tail_crc32,
+               octet_length(m)::BIGINT AS media_bytes, sha256(m) AS media_sha256,
+               printf('mpeg2-layer3 16000Hz frames=%d samples=%d seconds=%d/16000 kbps=144-%d table=Xing:ok crc=%d/%d tags=id3v2.4 resyncs=0 skipped=0',
+                      n, payload_bytes, payload_bytes, CASE WHEN n > 1 THEN 160 ELSE 144 END, n + 1, n + 1) AS feature,
+               n::BIGINT AS n_frames, payload_bytes::BIGINT AS n_samples, 16000 AS sample_rate,
+               array_to_string(list_transform(generate_series(0, n - 1), lambda j: (ahead + {ends("j")})), ',') AS seek_offsets
+        FROM media"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _op3(), "op7_html_extraction": _OP7, "op9_warc": _OP9, "op10_simhash": _op10()}
+    return {"op1_mpeg_audio": _op1(), "op3_quality_rules": _op3(), "op7_html_extraction": _OP7, "op9_warc": _OP9, "op10_simhash": _op10()}

@@ -111,7 +111,7 @@ def test_query_equals_the_definition(spark, sf_dir):
         payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert r.tail_crc32 == zlib.crc32(payload[-32:])
-        assert r.n_samples == len(payload) and len(r.seek_offsets) == r.n_frames == len(payload) // 576
+        assert r.n_samples == len(payload) and len(r.seek_offsets.split(",")) == r.n_frames == len(payload) // 576
         assert by_text.setdefault(raw, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
 
 
