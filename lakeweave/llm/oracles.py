@@ -6,7 +6,7 @@ _SYMBOLS = "[#*$%&|<>]"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 _RULES = {
-    "symbols": "10 * n_symbols > n_words",
+    "symbols": "5 * n_symbols > n_words",
     "repeated_lines": "10 * n_dup_lines > n_words",
     "word_length": "word_chars > 14 * n_words OR word_chars < 2 * n_words",
 }

@@ -39,7 +39,7 @@ BASE_RULES = {
     "repetition": "100 * n_repeat_words > 50 * n_words",
 }
 HOST_RULES = {
-    "symbols": "10 * n_symbols > n_words",
+    "symbols": "5 * n_symbols > n_words",
     "repeated_lines": "10 * n_dup_lines > n_words",
     "word_length": "word_chars > 14 * n_words or word_chars < 2 * n_words",
 }
