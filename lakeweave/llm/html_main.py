@@ -55,6 +55,8 @@ _MARKS = frozenset(
     "promotion related respond search share sharing sidebar skip social sponsor sponsored subscribe subscription syndication toolbar widget alert alertdialog dialog form".split()
 )
 _PAGE_LEVEL = frozenset("body html article main".split())  # never dropped for their class
+_ABOUT = frozenset("has no with without".split())  # beside a mark: of a container that is told whether it has such a part
+_CONTENT = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)",
@@ -76,11 +78,24 @@ def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
             return True
         if key in ("class", "id", "role"):
             words = set(_WORD.findall(value))
-            if not _MARKS.isdisjoint(words - {"header"} if in_article else words):
+            if not _MARKS.isdisjoint(words - {"header"} if in_article else words) and _ABOUT.isdisjoint(words):
                 return True
     return False
 
 
+def _holds_content(page: str, name: str, at: int) -> bool:
+    """Whether an article or main element starts inside the element `name` whose start tag ends at `at`."""
+    content = _CONTENT.search(page, at)
+    if content is None:
+        return False
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])", re.I).finditer(page, at, content.start()):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return False
+    return True
+
+
 class _Lines:
     """Lines of a page: (text, inside an article, inside boilerplate)."""
 
@@ -177,6 +192,8 @@ def lines(page: str, window: int = WINDOW) -> list[tuple[str, bool]]:
         if name in _VOID or attributes.endswith("/") and name not in _BLOCKS:
             continue
         aside = _is_aside(name, attributes, into.article > 0)
+        if aside and name not in _ASIDE and not into.article and not into.aside and _holds_content(page, name, at):
+            aside = False  # a wrapper whose class speaks of a part of it
         article = name in _ARTICLE and not into.aside
         if aside:
             if not into.aside:

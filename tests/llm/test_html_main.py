@@ -61,6 +61,8 @@ def test_page_by_hand():
         ("<script>never ends <p>x</p>", ""),
         ("<![CDATA[a & b]]>", "a & b"),
         ("<main><p>in</p></main><p>out</p>", "in"),
+        ("<div class='layout sidebar'><div class='ad'>buy</div><article><p>in</p><div class=comments>c</div></article></div><div class='ad'>x</div>", "in"),
+        ("<div class='has-sidebar no-comments'><p>kept</p></div>", "kept"),
         ("<article><div class='post-header'><h1>T</h1></div><p>x <a href=/>only a link</a></p></article>", "T\n\nx only a link"),
         ("<div><a href=/>Home</a> | <a href=/a>About</a></div><p>Text of the page.</p><p>More.</p><div><a href=/b>Imprint</a></div>", "Text of the page.\n\nMore."),
         ("<p>" + "long " * 50 + "</p><nav>m</nav><p>" + "too " * 40 + "</p><nav>m</nav><p>x</p>", ("long " * 50).strip() + "\n\n" + ("too " * 40).strip()),
