@@ -25,6 +25,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -262,6 +263,13 @@ def parse(data: bytes) -> Stream:
     return out
 
 
+def offset_at(s: Stream, seconds: Fraction | int) -> int:
+    """The byte offset of the frame that sounds at a time: frames of a stream are equally long in samples."""
+    if not s.offsets or not 0 <= seconds * s.hz < s.samples:
+        raise ValueError("the stream has no such time")
+    return s.offsets[int(seconds * s.hz) // (s.samples // len(s.offsets))]
+
+
 # -- a payload in a stream -----------------------------------------------------------------------
 
 

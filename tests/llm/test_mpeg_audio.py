@@ -124,3 +124,14 @@ def test_odd_rows(spark):
     got = {r.id: r for r in m.with_features(alien).collect()}
     assert [(got[i].n_frames, got[i].feature) for i in (1, 2, 3)] == [(0, "none skipped=0"), (0, "none skipped=0"), (0, "none skipped=16")]
     assert m.with_features(m.store_texts(docs.limit(0)), payload=True).count() == 0
+
+
+def test_seeking():
+    from fractions import Fraction
+
+    s = m.parse(m.store(m.padded(bytes(576 * 10))))
+    assert m.offset_at(s, 0) == s.offsets[0] and m.offset_at(s, Fraction(576, 16000)) == s.offsets[1]
+    assert m.offset_at(s, Fraction(5759, 16000)) == s.offsets[9] and m.offset_at(s, Fraction(575, 16000)) == s.offsets[0]
+    for bad in (Fraction(5760, 16000), -1):
+        with pytest.raises(ValueError):
+            m.offset_at(s, bad)
