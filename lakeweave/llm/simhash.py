@@ -159,10 +159,14 @@ def near_duplicates(prints: DataFrame, id_col: str = "doc_id", bucket_rows: int
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """docs without all but one row of each near-duplicate group: the one with the smallest id stays (of equal ids, one;
-    rows whose id is null all stay). Only ids that go or that are repeated meet the documents: while they are few, by
+    """docs without all but one row of each near-duplicate group; see keep_first."""
+    return keep_first(docs, c.materialize(near_duplicates(c.materialize(fingerprints(docs, id_col, text_col, width), "simhash-prints"), id_col), "simhash-marked"), id_col)
+
+
+def keep_first(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without all but one row of each group that `marked` (id, component_id) names: the one with the smallest id stays (of equal
+    ids, one; rows whose id is null all stay). Only ids that go or that are repeated meet the documents: while they are few, by
     broadcast, so that no text is shuffled."""
-    marked = c.materialize(near_duplicates(c.materialize(fingerprints(docs, id_col, text_col, width), "simhash-prints"), id_col), "simhash-marked")
     ids = marked.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_found")).agg(F.count(F.lit(1)).alias("_n"), F.min("component_id").alias("_first"))
     told = c.materialize(ids.select("_found", (F.col("_found") != F.col("_first")).alias("_gone"), (F.col("_n") > 1).alias("_again")).where("_gone or _again"), "simhash-gone")
     rows = c.wrapped(docs, _id=F.col(id_col).cast("long"))
