@@ -6,7 +6,8 @@ regression with a class for each licence family and one for unknown. The model i
 templates below with wordings, omissions and insertions made by rule from a fixed seed, against
 sentences that only sound like licences and a bounded, documented sample of the corpus's own lines.
 A fifth of the examples is held out of training and sets one temperature, so that a probability says
-how often such a prediction is right; what stays under ``threshold`` is unknown. A prediction is
+how often such a prediction is right; what stays under ``threshold`` is unknown. Every family that some
+window of a paragraph predicts is a finding, with its best window's probability. It is
 confirmed if enough word pairs of some template of its family stand in the paragraph.
 
 Scoring is one pass without a shuffle; the model is a fixed number of floats.
@@ -272,15 +273,14 @@ def findings(many: list[str], model: Model, windows: Windows, threshold: float)
         paragraphs.append(n)
     out: list[tuple[int, list]] = [(n, []) for n in paragraphs]
     logits, line = windows.logits(lines, model.weights)
-    best: dict[int, tuple[float, str]] = {}
+    best: dict[tuple[int, str], float] = {}
     some = np.flatnonzero(logits.argmax(axis=1)) if len(logits) else []
     if len(some):
         for at, p in zip(line[some].tolist(), model.probabilities(logits[some])):
             k = int(p.argmax())
-            if p[k] >= threshold and (float(p[k]), model.classes[k]) > best.get(at, (0.0, "")):
-                best[at] = float(p[k]), model.classes[k]
-    for at in sorted(best):
-        p, family = best[at]
+            if p[k] >= threshold:
+                best[at, model.classes[k]] = max(float(p[k]), best.get((at, model.classes[k]), 0.0))
+    for (at, family), p in sorted(best.items()):
         out[owner[at]][1].append((number[at], family, p, confirmed(family, lines[at])))
     return out
 

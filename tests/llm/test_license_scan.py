@@ -28,6 +28,14 @@ def test_families_and_unknown(model):
         assert not [f for f in found(model, text) if f[2]]
 
 
+def test_every_family_of_a_line(model):
+    filler = " ".join(f"q{i}" for i in range(60))
+    both = f"Released under the MIT License. {filler} Licensed under the Apache License, Version 2.0."
+    assert [f for f in found(model, both) if f[2]] == [(0, "apache", True), (0, "mit", True)]
+    long = " ".join([filler, "Released under the MIT License."] * 200 + ["This work is licensed under the GNU General Public License, version 3."])
+    assert [f for f in found(model, long) if f[2]] == [(0, "gpl", True), (0, "mit", True)]
+
+
 def test_held_out_wordings(model):
     """Wordings that no template has."""
     right = 0
