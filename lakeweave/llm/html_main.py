@@ -3,7 +3,7 @@
 Markup is stripped to lines: each block element's text is one line, its character references decoded
 and its white space turned into single spaces. Where a container that holds no content opens or
 closes (menus, headers, footers, sidebars, forms, notices, adverts, reader comments, told by element
-or by words of class, id and role), ``window`` empty lines stand in its place, so that its
+or by words of class, id and role, unless it wraps an article or, on a page without one, holds most of the text), ``window`` empty lines stand in its place, so that its
 boundary shows in the lines' lengths whatever text stands around it; outside an article element, a
 line most of whose text is links counts as empty too. Text lengths are summed over
 sliding windows of lines. A window over nothing is a dive point; the first window with text behind
@@ -67,7 +67,11 @@ _WORD = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
 
 
-def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
+_HIDDEN = 2
+
+
+def _is_aside(name: str, attributes: str, in_article: bool) -> int:
+    """Whether a container holds no content; _HIDDEN if no reader sees it."""
     if name in _ASIDE:
         return not (name == "header" and in_article)  # an article's own header holds its heading
     if name in _PAGE_LEVEL or not attributes:
@@ -75,7 +79,7 @@ def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
     for key, *values in _ATTRIBUTE.findall(attributes):
         value, key = next((v for v in values if v), "").lower(), key.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return _HIDDEN
         if key in ("class", "id", "role"):
             words = set(_WORD.findall(value))
             if not _MARKS.isdisjoint(words - {"header"} if in_article else words) and _ABOUT.isdisjoint(words):
@@ -107,8 +111,11 @@ class _Lines:
         self.aside = 0
         self.anchor = False
         self.linked = 0
+        self.total = 0  # characters outside links, in boilerplate too
 
     def text(self, raw: str) -> None:
+        if not self.anchor:
+            self.total += len(raw.strip())
         if not self.aside:
             self.parts.append(raw)
             if self.anchor:
@@ -128,18 +135,23 @@ class _Lines:
         self.out.extend([("", self.article > 0)] * self.window)
 
 
-def lines(page: str, window: int = WINDOW) -> list[tuple[str, bool]]:
-    """(text, inside an article element) for each line of a page, boilerplate containers as empty lines."""
+def lines(page: str, window: int = WINDOW, kept: frozenset[int] = frozenset()) -> list[tuple[str, bool]]:
+    """(text, inside an article element) for each line of a page, boilerplate containers as empty lines.
+
+    A visible container with most of the text of a page without article and main is none: its start is in `kept` of a second pass."""
     into, stack, at, size = _Lines(window), [], 0, len(page)
+    articles, held = False, []
 
     def close(upto: int) -> None:
         while len(stack) > upto:
-            name, aside, article = stack.pop()
+            name, aside, article, start, before = stack.pop()
             if name in _BLOCKS:
                 into.end()
             if name == "a":
                 into.anchor = False
             if aside:
+                if aside != _HIDDEN:
+                    held.append((start, into.total - before))
                 into.parts, into.linked = [], 0
                 into.aside -= 1
                 if not into.aside:
@@ -191,9 +203,9 @@ def lines(page: str, window: int = WINDOW) -> list[tuple[str, bool]]:
             into.end()
         if name in _VOID or attributes.endswith("/") and name not in _BLOCKS:
             continue
-        aside = _is_aside(name, attributes, into.article > 0)
-        if aside and name not in _ASIDE and not into.article and not into.aside and _holds_content(page, name, at):
-            aside = False  # a wrapper whose class speaks of a part of it
+        aside = 0 if at in kept else int(_is_aside(name, attributes, into.article > 0))
+        if aside and (name == "form" or name not in _ASIDE) and not into.article and not into.aside and _holds_content(page, name, at):
+            aside = 0  # a wrapper whose class speaks of a part of it, or a form around the page
         article = name in _ARTICLE and not into.aside
         if aside:
             if not into.aside:
@@ -202,9 +214,13 @@ def lines(page: str, window: int = WINDOW) -> list[tuple[str, bool]]:
         if article:
             into.gap()
             into.article += 1
-        stack.append((name, aside, article))
+            articles = True
+        stack.append((name, aside, article, at, into.total))
     close(0)
     into.end()
+    most = frozenset(start for start, n in held if 2 * n > into.total)
+    if most and not articles and not kept:
+        return lines(page, window, most)
     return into.out
 
 

@@ -73,6 +73,20 @@ def test_cases(page, want):
     assert h.main_text(page or "") == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body><form id=aspnetForm><div>menu</div><article><h1>T</h1><p>in</p></article></form></body>", "T\n\nin"),
+        ("<body><form id=aspnetForm><nav>m</nav><div class='content-widget'><p>The text of the page.</p></div></form><footer>f</footer></body>", "The text of the page."),
+        ("<div class='search-results'><p>The text of the page.</p><form>Search</form></div><p>And its end.</p>", "The text of the page.\n\nAnd its end."),
+        ("<div hidden><p>Much that no reader ever sees.</p></div><p>seen</p>", "seen"),
+        ("<p>The text of the page.</p><form>Search</form>", "The text of the page."),
+    ],
+)
+def test_wrappers_with_the_pages_text_are_kept(page, want):
+    assert h.main_text(page) == want
+
+
 def test_query_equals_a_plain_reading_of_these_pages(spark):
     sf_dir = "/root/testdata/sf0.01"
     rows = {r.page_id: r for r in queries.queries()["op7_html_extraction"](spark, sf_dir).collect()}
