@@ -7,9 +7,10 @@ or by words of class, id and role, unless it wraps an article or, on a page with
 boundary shows in the lines' lengths whatever text stands around it; outside an article element, a
 line most of whose text is links counts as empty too. Text lengths are summed over
 sliding windows of lines. A window over nothing is a dive point; the first window with text behind
-one is a surge point; the text between a surge and the next dive is a run of lines. The longest run
-opens the main text, and every run counts that is not boilerplate: in a page whose article element
-is marked up, the runs inside it; otherwise runs with at least ``share`` of the longest run's text.
+one is a surge point; the text between a surge and the next dive is a run of lines. Every run
+counts that is not boilerplate: in a page whose article element is marked up, the runs inside it; otherwise
+runs that hold a word of two or more characters, whatever the other runs' lengths (lone signs and letters, such as
+separators and close buttons, are none).
 
 Documents are never parsed by regular grammar alone: comments, CDATA, raw text elements, quotes in
 attributes, unclosed and stray tags are handled as HTML parsers do, and a truncated page gives what
@@ -35,9 +36,6 @@ from lakeweave.llm import _common as c
 #: Lines to a window.
 WINDOW = 3
 
-#: Runs outside any article element count from this share of the longest run's length on.
-SHARE = 0.2
-
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -65,6 +63,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|$)", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
+_SOME = re.compile(r"\w\w")
 
 
 _HIDDEN = 2
@@ -237,18 +236,14 @@ def surges(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     return out
 
 
-def main_text(page: str, window: int = WINDOW, share: float = SHARE) -> str:
+def main_text(page: str, window: int = WINDOW) -> str:
     """The main text of one whole page; blocks joined by two \\n."""
     found = lines(page, window)
     lengths = [len(t) for t, _ in found]
-    runs = [(sum(lengths[a:b]), a, b) for a, b in surges(lengths, window)]
-    inside = [r for r in runs if found[r[1]][1]]
-    if inside:
-        chosen = inside
-    else:
-        longest = max(runs, default=(0, 0, 0))[0]
-        chosen = [r for r in runs if r[0] >= share * longest]
-    return "\n\n".join(t for _, a, b in chosen for t, _ in found[a:b] if t)
+    runs = surges(lengths, window)
+    inside = [r for r in runs if found[r[0]][1]]
+    chosen = inside or [(a, b) for a, b in runs if len(runs) == 1 or any(_SOME.search(t) for t, _ in found[a:b])]
+    return "\n\n".join(t for a, b in chosen for t, _ in found[a:b] if t)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

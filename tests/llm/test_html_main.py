@@ -87,6 +87,13 @@ def test_wrappers_with_the_pages_text_are_kept(page, want):
     assert h.main_text(page) == want
 
 
+def test_short_runs_beside_a_long_one_are_kept():
+    long = ("long " * 20000).strip()
+    short = ("too " * 4999).strip()
+    page = f"<h1>Title</h1><div class=share>s</div><p>{long}</p><div class=ad>a</div><p>{short}</p><nav>m</nav><p>|</p>"
+    assert h.main_text(page) == f"Title\n\n{long}\n\n{short}"
+
+
 def test_query_equals_a_plain_reading_of_these_pages(spark):
     sf_dir = "/root/testdata/sf0.01"
     rows = {r.page_id: r for r in queries.queries()["op7_html_extraction"](spark, sf_dir).collect()}
