@@ -4,7 +4,7 @@ Parsing. Frames are found by resynchronising: a header's sync bits, version, lay
 rate and emphasis must be valid, and the stream must go on behind it with a like header, a tag or its
 end; a candidate that fails is stepped over, and the bytes skipped are counted. ID3v2 (with its
 unsynchronised size), ID3v1 and APE tags are read and left out. A first frame that holds a Xing, Info
-or VBRI table describes the stream and is no audio. CRC-16 of protected frames is verified over header
+or VBRI table describes the stream and is no audio. CRC-16 of protected layer III frames (of layers I and II it is not read, so 0 good and 0 bad do not say that a stream has none) is verified over header
 and side information. Durations are exact: samples and sampling rate as whole numbers, and every
 frame's byte offset is kept for seeking.
 
