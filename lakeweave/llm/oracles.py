@@ -6,20 +6,21 @@ _SYMBOLS = "[#*$%&|<>]"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 _RULES = {
-    "symbols": "5 * n_symbols > n_words",
-    "repeated_lines": "10 * n_dup_lines > n_words",
-    "word_length": "word_chars > 14 * n_words OR word_chars < 2 * n_words",
+    "symbols": ("10 * n_symbols > n_words", "5 * n_symbols > n_words"),
+    "repeated_lines": ("20 * n_dup_lines > n_words", "10 * n_dup_lines > n_words"),
+    "word_length": ("word_chars > 10 * n_words OR word_chars < 3 * n_words", "word_chars > 20 * n_words OR 2 * word_chars < 3 * n_words"),
 }
 
 
 def _op3() -> str:
-    failed = ", ".join(f"count(*) FILTER (WHERE {r}) AS {n}" for n, r in _RULES.items())
+    failed = ", ".join(f"count(*) FILTER (WHERE {r}) AS {n}" for n, (r, _) in _RULES.items())
     moments = ", ".join(f"sum({n}) / sum(n) AS m_{n}, sum({n} * {n} / n) / sum(n) AS s_{n}" for n in _RULES)
     between = ", ".join(f"m_{n}, s_{n} - m_{n} * m_{n} - m_{n} * (1 - m_{n}) * hosts / total AS b_{n}" for n in _RULES)
     strength = ", ".join(f"m_{n}, least(greatest(CASE WHEN b_{n} > 1e-12 THEN m_{n} * (1 - m_{n}) / b_{n} - 1 ELSE 10000 END, 2), 10000) AS k_{n}" for n in _RULES)
-    rates = ", ".join(f"({n} + m_{n} * k_{n}) / (n + k_{n}) AS r_{n}" for n in _RULES)
-    worst = ", ".join(f"r_{n}" for n in _RULES)
-    watched = " OR ".join(f"(({r}) AND r_{n} > 0.005)" for n, r in _RULES.items())
+    rates = ", ".join(f"m_{n}, k_{n}, ({n} + m_{n} * k_{n}) / (n + k_{n}) AS r_{n}" for n in _RULES)
+    off = ", ".join(f"m_{n}, r_{n}, 3 * sqrt(r_{n} * (1 - r_{n}) / (n + k_{n} + 1)) AS d_{n}" for n in _RULES)
+    worst = " OR ".join(f"r_{n} - d_{n} > greatest(m_{n}, 0.5)" for n in _RULES)
+    gone = " OR ".join(f"(({mild}) AND r_{n} - d_{n} > m_{n}) OR (({severe}) AND NOT r_{n} + d_{n} < m_{n} / 2)" for n, (mild, severe) in _RULES.items())
     return rf"""
         WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
         split AS (
@@ -39,10 +40,11 @@ def _op3() -> str:
         moments AS (SELECT sum(n) AS total, count(*) AS hosts, {moments} FROM by_host),
         between_hosts AS (SELECT {between} FROM moments),
         prior AS (SELECT {strength} FROM between_hosts),
-        rates AS (SELECT host, {rates} FROM by_host, prior),
+        posterior AS (SELECT host, n, {rates} FROM by_host, prior),
+        rates AS (SELECT host, {off} FROM posterior),
         judged AS (
             SELECT c.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-                   greatest({worst}) > 0.6 AS host_blocked, {watched} AS failed
+                   ({worst}) AS host_blocked, {gone} AS failed
             FROM counts c JOIN rates USING (host))
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND NOT host_blocked AND NOT failed AS kept, host_blocked FROM judged"""

@@ -1,14 +1,17 @@
 """Host-level quality rules.
 
-Every document gets whole-text counts and a failure flag for each rule. Failures are summed by host
-(map-side first, so a host with a third of the rows costs one partial sum per task), each host's
-failure rate is shrunk towards the corpus by a beta prior fitted to all hosts by moments, and the
-host's verdict goes back to its documents:
+Every document gets whole-text counts and, for each rule, a failure in two degrees: it fails mildly or
+severely. Failures are summed by host (map-side first, so a host with a third of the rows costs one
+partial sum per task). A beta prior is fitted to all hosts by moments; its mean is the corpus's failure
+rate, and its strength says how alike the hosts are. Each host's posterior is held against that mean:
 
-* a host whose shrunk rate of some rule is over ``block_rate`` is blocked: none of its documents stays;
-* a host whose shrunk rate of a rule is over ``watch_rate`` is watched for it: its documents that fail
-  the rule go; on hosts that hardly ever fail it, a single failure is forgiven;
-* documents that fail a base rule go, whatever the host.
+* strict: the rate is above the corpus's, by `z` standard deviations. Mild failures of the rule go, too;
+* trusted: the rate is below half of the corpus's by as much. Severe failures of the rule are forgiven;
+* ordinary, all others: severe failures go;
+* a host whose rate of a rule is above the corpus's and above one half by as much is blocked with all its documents.
+
+Hosts that differ by no more than chance leave a strong prior, under which all are ordinary; then the
+verdicts are those of the documents' own severe failures. Documents that fail a base rule go, whatever the host.
 
 Defined results: a null text has no words (and so fails the base rule); a null host is the empty host;
 repeated rows count and are judged one by one; an empty table gives an empty table; columns of the
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,21 +41,27 @@ BASE_RULES = {
     "few_words": "n_words < 50",
     "repetition": "100 * n_repeat_words > 50 * n_words",
 }
+#: (mild, severe) failures. One symbol in ten words, and words of three to ten characters on average, are the usual limits
+#: for web text; severe is twice as far off.
 HOST_RULES = {
-    "symbols": "5 * n_symbols > n_words",
-    "repeated_lines": "10 * n_dup_lines > n_words",
-    "word_length": "word_chars > 14 * n_words or word_chars < 2 * n_words",
+    "symbols": ("10 * n_symbols > n_words", "5 * n_symbols > n_words"),
+    "repeated_lines": ("20 * n_dup_lines > n_words", "10 * n_dup_lines > n_words"),
+    "word_length": ("word_chars > 10 * n_words or word_chars < 3 * n_words", "word_chars > 20 * n_words or 2 * word_chars < 3 * n_words"),
 }
 
 
 @dataclass(frozen=True)
 class HostPolicy:
-    """Limits for shrunk failure rates; strength of the prior in documents is kept within min/max."""
+    """z: standard deviations that a host's posterior must lie off; the prior's strength in documents is kept within min/max.
+
+    hosts=False leaves the host step out: every host is ordinary."""
 
-    block_rate: float = 0.6
-    watch_rate: float = 0.005
+    z: float = 3.0
+    trusted: float = 0.5
+    blocked: float = 0.5
     min_strength: float = 2.0
     max_strength: float = 10_000.0
+    hosts: bool = True
 
 
 def text_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -93,10 +102,11 @@ def with_counts(docs: DataFrame, text_col: str = "text", drop_text: bool = False
 
 
 def host_rates(counted: DataFrame, host_col: str, policy: HostPolicy = HostPolicy()) -> DataFrame:
-    """A row for each host: _host, n, and <rule>_rate, the posterior mean under the beta prior of all hosts."""
+    """A row for each host: _host, n, and for each rule <rule>_rate, the posterior mean under the beta prior of all hosts,
+    <rule>_sd, its standard deviation, and <rule>_mean, the corpus's rate."""
     hosts = c.materialize(
         counted.groupBy(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host")).agg(
-            F.count(F.lit(1)).alias("n"), *(F.count_if(F.expr(rule)).alias(f"{name}_failed") for name, rule in HOST_RULES.items())
+            F.count(F.lit(1)).alias("n"), *(F.count_if(F.expr(mild)).alias(f"{name}_failed") for name, (mild, _) in HOST_RULES.items())
         ),
         "hosts",
     )
@@ -115,29 +125,40 @@ def host_rates(counted: DataFrame, host_col: str, policy: HostPolicy = HostPolic
             between = m[f"{name}_square"] / total - mean * mean - noise
         strength = mean * (1 - mean) / between - 1 if between > 1e-12 else policy.max_strength
         strength = min(max(strength, policy.min_strength), policy.max_strength)
-        rates.append(((F.col(f"{name}_failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))).alias(f"{name}_rate"))
+        rate = (F.col(f"{name}_failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
+        rates += [rate.alias(f"{name}_rate"), F.sqrt(rate * (1 - rate) / (F.col("n") + F.lit(strength + 1))).alias(f"{name}_sd"), F.lit(mean).alias(f"{name}_mean")]
     return hosts.select("_host", "n", *rates)
 
 
+def standing(rule: str, policy: HostPolicy) -> Column:
+    """A host's standing for one rule: 2 strict, 1 ordinary, 0 trusted."""
+    rate, sd, mean = (F.col(f"{rule}_{x}") for x in ("rate", "sd", "mean"))
+    return F.when(rate - policy.z * sd > mean, 2).when(rate + policy.z * sd < policy.trusted * mean, 0).otherwise(1)
+
+
 def judge(counted: DataFrame, host_col: str = "source", policy: HostPolicy = HostPolicy()) -> DataFrame:
     """counted with base_failed, host_blocked and kept. The host table is broadcast only if it has been counted small."""
-    rates = host_rates(counted, host_col, policy)
-    verdicts = rates.select(
-        "_host",
-        F.greatest(*(F.col(f"{r}_rate") for r in HOST_RULES)).alias("_worst"),
-        *((F.col(f"{r}_rate") > policy.watch_rate).alias(f"_watch_{r}") for r in HOST_RULES),
-    )
     base = F.expr(" or ".join(f"({x})" for x in BASE_RULES.values()))
+    rows = counted.withColumn("_host", F.coalesce(F.col(host_col).cast("string"), F.lit("")))
+    if policy.hosts:
+        rates = host_rates(counted, host_col, policy)
+        worst = F.lit(False)
+        for r in HOST_RULES:
+            worst = worst | (F.col(f"{r}_rate") - policy.z * F.col(f"{r}_sd") > F.greatest(F.col(f"{r}_mean"), F.lit(policy.blocked)))
+        verdicts = rates.select("_host", worst.alias("_blocked"), *(standing(r, policy).alias(f"_standing_{r}") for r in HOST_RULES))
+        rows = rows.join(c.guarded(verdicts), "_host", "left")
+    else:
+        rows = rows.withColumns({"_blocked": F.lit(False)} | {f"_standing_{r}": F.lit(1) for r in HOST_RULES})
     failed = F.lit(False)
-    for name, rule in HOST_RULES.items():
-        failed = failed | (F.expr(rule) & F.col(f"_watch_{name}"))
-    blocked = F.coalesce(F.col("_worst") > policy.block_rate, F.lit(False))
-    joined = counted.withColumn("_host", F.coalesce(F.col(host_col).cast("string"), F.lit(""))).join(c.guarded(verdicts), "_host", "left")
+    for name, (mild, severe) in HOST_RULES.items():
+        at = F.coalesce(F.col(f"_standing_{name}"), F.lit(1))
+        failed = failed | (F.expr(mild) & (at == 2)) | (F.expr(severe) & (at > 0))
+    blocked = F.coalesce(F.col("_blocked"), F.lit(False))
     return (
-        joined.withColumn("base_failed", base)
+        rows.withColumn("base_failed", base)
         .withColumn("host_blocked", blocked)
-        .withColumn("kept", ~F.col("base_failed") & ~blocked & ~F.coalesce(failed, F.lit(False)))
-        .drop("_host", "_worst", *(f"_watch_{r}" for r in HOST_RULES))
+        .withColumn("kept", ~F.col("base_failed") & ~blocked & ~failed)
+        .drop("_host", "_blocked", *(f"_standing_{r}" for r in HOST_RULES))
     )
 
 

@@ -56,3 +56,35 @@ def test_clashing_columns_survive(spark):
     docs = spark.createDataFrame([(1, text, "a", "keep me", "me too", "m3")], "doc_id long, text string, source string, kept string, base_failed string, n_words string")
     (row,) = q.filter_documents(docs).collect()
     assert (row.kept, row.base_failed, row.n_words) == ("keep me", "me too", "m3")
+
+
+def test_the_host_step_decides_and_for_the_better(spark):
+    """Ablation: verdicts of documents alone against verdicts with their hosts, on a corpus whose hosts differ."""
+    rng = random.Random(7)
+    text = lambda every: " ".join(f"w{rng.randrange(10**6)}" + ("#" if every and k % every == 0 else "") for k in range(120))
+    rows = []
+    for i in range(20):  # ordinary hosts: a few mild failures are sound, severe ones are not
+        rows += [(f"h{i}", text(0), 1)] * 95 + [(f"h{i}", text(8), 1)] * 3 + [(f"h{i}", text(3), 0)] * 2
+    rows += [("forum", text(8), 0)] * 120 + [("forum", text(0), 1)] * 180  # mild failures, far too many of them
+    rows += [("farm", text(3), 0)] * 180 + [("farm", text(0), 0)] * 20  # all of it is made for search engines
+    rows += [("manual", text(0), 1)] * 2990 + [("manual", text(3), 1)] * 3  # listings in a manual
+    docs = spark.createDataFrame([(i, t, h, y) for i, (h, t, y) in enumerate(rows)], "doc_id long, text string, source string, label int")
+    counted = q.with_counts(docs, drop_text=True).cache()
+    right = {}
+    for on in (True, False):
+        got = q.judge(counted, policy=q.HostPolicy(hosts=on)).selectExpr("source", "kept", "label", "host_blocked").collect()
+        right[on] = sum(r.kept == bool(r.label) for r in got)
+        if on:
+            assert {r.source for r in got if r.host_blocked} == {"farm"}
+            assert all(r.kept for r in got if r.source == "manual") and not any(r.kept for r in got if r.source == "forum" and not r.label)
+    counted.unpersist()
+    assert right[True] == len(rows) and right[False] == len(rows) - 120 - 20 - 3
+
+
+def test_hosts_that_differ_by_chance_only_are_ordinary(spark):
+    rng = random.Random(8)
+    rows = [(f"h{i % 20}", " ".join(f"w{rng.randrange(10**6)}" + ("#" if bad else "") for _ in range(60))) for i in range(4000) for bad in [rng.random() < 0.12]]
+    docs = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    counted = q.with_counts(docs)
+    got = {on: {r.doc_id for r in q.judge(counted, policy=q.HostPolicy(hosts=on)).where("kept").collect()} for on in (True, False)}
+    assert got[True] == got[False] == {i for i, (_, t) in enumerate(rows) if "#" not in t}
