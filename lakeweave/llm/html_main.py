@@ -1,16 +1,20 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines: each block element's text is one line, its character references decoded
-and its white space turned into single spaces. Where a container that holds no content opens or
-closes (menus, headers, footers, sidebars, forms, notices, adverts, reader comments, told by element
-or by words of class, id and role, unless it wraps an article or, on a page without one, holds most of the text), ``window`` empty lines stand in its place, so that its
-boundary shows in the lines' lengths whatever text stands around it; outside an article element, a
-line most of whose text is links counts as empty too. Text lengths are summed over
-sliding windows of lines. A window over nothing is a dive point; the first window with text behind
-one is a surge point; the text between a surge and the next dive is a run of lines. Every run
-counts that is not boilerplate: in a page whose article element is marked up, the runs inside it; otherwise
-runs that hold a word of two or more characters, whatever the other runs' lengths (lone signs and letters, such as
-separators and close buttons, are none).
+Markup is stripped to lines: every tag of a block element ends a line, so that what lies between two
+of them is one line, an empty one if there is no text. A line's length is that of its text outside
+links; what lies deep in other containers is so parted from its neighbours by more empty lines than
+one paragraph is from the next. Lengths are summed over sliding windows of ``WINDOW`` lines. Where
+the sum leaves zero a run of lines begins, and where it falls back to zero, a dive point, it ends. A
+run is main text if its windows surge: if some window holds ``SURGE`` characters or more.
+
+What names elements and classes bear breaks ties, where lengths alone don't tell:
+
+* a run that surges inside a container that names itself a menu, footer, notice, advert, comments and
+  the like is left out, unless all that surges does so, or unless it holds most of the page's text;
+* a run that doesn't surge is main text inside an article or main element, or as a heading before, or
+  a run with words between, runs that do; if nothing surges anywhere, the article's runs are taken, else the run with the highest window
+  outside such containers;
+* in a page with an article that surges, runs outside of it that no name speaks for are left out.
 
 Documents are never parsed by regular grammar alone: comments, CDATA, raw text elements, quotes in
 attributes, unclosed and stray tags are handled as HTML parsers do, and a truncated page gives what
@@ -25,6 +29,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +38,9 @@ from pyspark.sql import types as T
 
 from lakeweave.llm import _common as c
 
-#: Lines to a window.
-WINDOW = 3
+#: Lines to a window, and the characters from which on a window's sum is a surge: more than a line of a footer or an advert
+#: has, less than two sentences have.
+WINDOW, SURGE = 2, 130
 
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -44,7 +50,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea title select noframes noembed xmp head".split())
 _ASIDE = frozenset("nav header footer aside form menu dialog button".split())
 _ARTICLE = frozenset("article main".split())
-_PARAGRAPH_ENDS = _BLOCKS  # an open p ends where a block element starts
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 # Fixed words that tell a container without content, as whole words of class, id and role.
 _MARKS = frozenset(
@@ -99,64 +105,72 @@ def _holds_content(page: str, name: str, at: int) -> bool:
     return True
 
 
+@dataclass
+class Line:
+    """A line: its text, its characters outside links, what names say of it (1: an article, -1: boilerplate), whether it is a heading."""
+
+    text: str = ""
+    length: int = 0
+    named: int = 0
+    heading: bool = False
+
+
 class _Lines:
-    """Lines of a page: (text, inside an article, inside boilerplate)."""
+    """Lines of a page as its tags come."""
 
-    def __init__(self, window: int):
-        self.out: list[tuple[str, bool]] = []
+    def __init__(self) -> None:
+        self.out: list[Line] = []
         self.parts: list[str] = []
-        self.window = window
-        self.article = 0
-        self.aside = 0
+        self.article = self.aside = self.hidden = self.heading = 0
         self.anchor = False
         self.linked = 0
         self.total = 0  # characters outside links, in boilerplate too
 
     def text(self, raw: str) -> None:
-        if not self.anchor:
+        if self.hidden:
+            return
+        if self.anchor:
+            self.linked += len(raw.strip())
+        else:
             self.total += len(raw.strip())
-        if not self.aside:
-            self.parts.append(raw)
-            if self.anchor:
-                self.linked += len(raw.strip())
+        self.parts.append(raw)
 
     def end(self) -> None:
-        if self.parts:
-            line = _SPACES.sub(" ", html.unescape("".join(self.parts))).strip()
-            linked, self.parts, self.linked = self.linked, [], 0
-            if line and not self.article and 2 * linked > len(line):
-                self.out.extend([("", False)] * self.window)  # a menu without a container of its own
-            elif line:
-                self.out.append((line, self.article > 0))
-
-    def gap(self) -> None:
-        self.end()
-        self.out.extend([("", self.article > 0)] * self.window)
-
-
-def lines(page: str, window: int = WINDOW, kept: frozenset[int] = frozenset()) -> list[tuple[str, bool]]:
-    """(text, inside an article element) for each line of a page, boilerplate containers as empty lines.
-
-    A visible container with most of the text of a page without article and main is none: its start is in `kept` of a second pass."""
-    into, stack, at, size = _Lines(window), [], 0, len(page)
+        """A tag that ends the line, even an empty one."""
+        line = _SPACES.sub(" ", html.unescape("".join(self.parts))).strip() if self.parts else ""
+        linked, self.parts, self.linked = self.linked, [], 0
+        if not line:
+            self.out.append(Line())
+            return
+        named = -1 if self.aside else int(self.article > 0)
+        menu = named < 1 and 2 * linked > len(line)  # a line of links
+        self.out.append(Line(line, 0 if menu else len(line), named, self.heading > 0))
+
+
+def lines(page: str, kept: frozenset[int] = frozenset()) -> list[Line]:
+    """The lines of a page.
+
+    A visible container with most of the text of a page without article and main is no boilerplate, whatever its name: its start
+    is in `kept` of a second pass."""
+    into, stack, at, size = _Lines(), [], 0, len(page)
     articles, held = False, []
 
     def close(upto: int) -> None:
         while len(stack) > upto:
             name, aside, article, start, before = stack.pop()
-            if name in _BLOCKS:
+            if name in _BLOCKS or aside:
                 into.end()
             if name == "a":
                 into.anchor = False
+            if name in _HEADINGS:
+                into.heading -= 1
             if aside:
-                if aside != _HIDDEN:
+                if aside == _HIDDEN:
+                    into.hidden -= 1
+                else:
                     held.append((start, into.total - before))
-                into.parts, into.linked = [], 0
-                into.aside -= 1
-                if not into.aside:
-                    into.gap()
+                    into.aside -= 1
             if article:
-                into.gap()
                 into.article -= 1
 
     while at < size:
@@ -205,21 +219,25 @@ def lines(page: str, window: int = WINDOW, kept: frozenset[int] = frozenset()) -
         aside = 0 if at in kept else int(_is_aside(name, attributes, into.article > 0))
         if aside and (name == "form" or name not in _ASIDE) and not into.article and not into.aside and _holds_content(page, name, at):
             aside = 0  # a wrapper whose class speaks of a part of it, or a form around the page
-        article = name in _ARTICLE and not into.aside
+        article = name in _ARTICLE and not into.aside and not into.hidden
         if aside:
-            if not into.aside:
-                into.gap()
-            into.aside += 1
+            if name not in _BLOCKS:
+                into.end()
+            if aside == _HIDDEN:
+                into.hidden += 1
+            else:
+                into.aside += 1
         if article:
-            into.gap()
             into.article += 1
             articles = True
+        if name in _HEADINGS:
+            into.heading += 1
         stack.append((name, aside, article, at, into.total))
     close(0)
     into.end()
     most = frozenset(start for start, n in held if 2 * n > into.total)
     if most and not articles and not kept:
-        return lines(page, window, most)
+        return lines(page, most)
     return into.out
 
 
@@ -236,14 +254,57 @@ def surges(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     return out
 
 
-def main_text(page: str, window: int = WINDOW) -> str:
+@dataclass
+class Run:
+    """Lines [start, stop) between a surge point and the next dive point, all named alike."""
+
+    start: int
+    stop: int
+    named: int
+    peak: int
+    size: int
+
+
+def runs(found: list[Line], window: int = WINDOW) -> list[Run]:
+    """The runs of a page's line-block distribution, cut where names change; peak is the largest window's sum."""
+    out = []
+    for a, b in surges([x.length for x in found], window):
+        some = [i for i in range(a, b) if found[i].length]
+        cuts = [some[0], *(j for i, j in zip(some, some[1:]) if found[i].named != found[j].named), b]
+        for x, y in zip(cuts, cuts[1:]):
+            lengths = [line.length if line.named == found[x].named else 0 for line in found[x:y]]
+            peak = max(sum(lengths[i : i + window]) for i in range(len(lengths)))
+            out.append(Run(x, y, found[x].named, peak, sum(lengths)))
+    return out
+
+
+def choose(found: list[Line], every: list[Run], surge: int = SURGE) -> list[Run]:
+    """The runs that are main text."""
+    wordy = [r for r in every if any(_SOME.search(x.text) for x in found[r.start : r.stop])]
+    high = [r for r in every if r.peak >= surge]
+    core = [r for r in high if r.named >= 0] or high
+    if any(r.named > 0 for r in core):
+        return [r for r in every if r.named > 0]
+    told = any(x.named < 0 for x in found)  # names have said what is no main text, so what no name speaks for is
+    if not core:
+        inside = [r for r in every if r.named > 0]
+        plain = [r for r in wordy if r.named == 0] or [r for r in every if r.named == 0] or wordy or every
+        return inside or (plain if told or len(every) == 1 else [max(plain, key=lambda r: (r.peak, r.size))] if plain else [])
+    first, last = core[0].start, core[-1].start
+
+    def stays(r: Run) -> bool:
+        heads = r.start < first and any(x.heading for x in found[r.start : r.stop])
+        return r.named > 0 or r.named == 0 and r in wordy and (told or heads or first < r.start < last)
+
+    return [r for r in every if r in core or stays(r)]
+
+
+def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of one whole page; blocks joined by two \\n."""
-    found = lines(page, window)
-    lengths = [len(t) for t, _ in found]
-    runs = surges(lengths, window)
-    inside = [r for r in runs if found[r[0]][1]]
-    chosen = inside or [(a, b) for a, b in runs if len(runs) == 1 or any(_SOME.search(t) for t, _ in found[a:b])]
-    return "\n\n".join(t for a, b in chosen for t, _ in found[a:b] if t)
+    found = lines(page)
+    chosen = choose(found, runs(found, window), surge)
+    # a line of links within a run is part of it
+    return "\n\n".join(x.text for r in chosen for x in found[r.start : r.stop] if x.text and x.named == r.named)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

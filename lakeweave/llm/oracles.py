@@ -131,13 +131,31 @@ def _op10() -> str:
         SELECT doc_id, lower(printf('%016x', f)) AS fingerprint, component_id FROM marked JOIN named USING (f)"""
 
 
-# The pages of the driver's tables mark their main text up as one article of h1 and p blocks; that is read here plainly.
+# Line-block distribution over the block elements that the driver's pages have; article elements are not looked for. A run between
+# dive points is main text if some line of two lines' windows surges; names of containers are asked only on pages where none does,
+# and for runs that surge within them.
 _OP7 = r"""
-    WITH articles AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
-    blocks AS (SELECT page_id, url, string_split_regex(regexp_replace(regexp_replace(a, '</?b>', '', 'g'), '<br>', ' ', 'g'), '</?(p|h1)>') AS b FROM articles),
-    plain AS (SELECT page_id, url, list_transform(b, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS b FROM blocks),
-    texts AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM plain)
-    SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts"""
+    WITH bodies AS (SELECT row_number() OVER () AS rid, page_id, url, regexp_replace(coalesce(html, ''), '(?s)<head>.*?</head>|<!--.*?-->', '', 'g') AS h FROM pages),
+    split AS (SELECT rid, regexp_extract_all(h, '<[^>]*>|[^<]+') AS ts FROM bodies),
+    tokens AS (SELECT rid, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM split),
+    marked AS (
+        SELECT rid, i, t, starts_with(t, '<') AS tag,
+               sum(CASE WHEN t IN ('<nav>', '<footer>', '<div class="ad">') THEN 1 WHEN t IN ('</nav>', '</footer>', '</div>') THEN -1 ELSE 0 END) OVER w AS aside,
+               sum(CASE WHEN starts_with(t, '<a ') THEN 1 WHEN t = '</a>' THEN -1 ELSE 0 END) OVER w AS anchor,
+               sum(CASE WHEN regexp_matches(t, '^</?(html|body|nav|ul|li|div|article|h1|p|footer)[ >]') THEN 1 ELSE 0 END) OVER w AS line
+        FROM tokens WINDOW w AS (PARTITION BY rid ORDER BY i)),
+    raw AS (
+        SELECT rid, line, bool_or(aside > 0) AS named, string_agg(CASE WHEN NOT tag THEN t WHEN t = '<br>' THEN ' ' ELSE '' END, '' ORDER BY i) AS t,
+               sum(CASE WHEN NOT tag AND anchor > 0 THEN length(trim(t)) ELSE 0 END) AS linked
+        FROM marked GROUP BY rid, line),
+    plain AS (SELECT rid, line, named, linked, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(trim(t), '&(amp|lt|gt|quot)$', '&\1;'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM raw),
+    lines AS (SELECT rid, line, named, t, length(t) AS n FROM plain WHERE t <> '' AND 2 * linked <= length(t)),
+    cut AS (SELECT *, CASE WHEN line - lag(line) OVER w <= 2 AND named = lag(named) OVER w THEN 0 ELSE 1 END AS starts, CASE WHEN lead(line) OVER w = line + 1 THEN lead(n) OVER w ELSE 0 END AS following FROM lines WINDOW w AS (PARTITION BY rid ORDER BY line)),
+    numbered AS (SELECT *, sum(starts) OVER (PARTITION BY rid ORDER BY line) AS run FROM cut),
+    runs AS (SELECT rid, run, bool_or(named) AS named, max(n + following) AS peak FROM numbered GROUP BY rid, run),
+    chosen AS (SELECT rid, run FROM (SELECT *, max(peak) FILTER (NOT named) OVER (PARTITION BY rid) AS most FROM runs) WHERE NOT named AND (peak >= 130 OR most < 130)),
+    texts AS (SELECT rid, string_agg(t, chr(10) || chr(10) ORDER BY line) AS text FROM numbered JOIN chosen USING (rid, run) GROUP BY rid)
+    SELECT page_id, url, coalesce(text, '') AS text, coalesce(length(text), 0)::BIGINT AS n_chars FROM bodies LEFT JOIN texts USING (rid)"""
 
 
 def _op1() -> str:
