@@ -9,19 +9,22 @@ For each host a tree of path segments is built, level by level, on counts of dis
 2. At a node with more than ``fanout`` children, those with under ``1 / fanout`` of its urls become one
    wildcard ``*``: no node keeps more than ``fanout`` + 1 branches.
 3. Sibling branches are merged if they are statistically alike: what follows below them is alike (the
-   distance of their profiles is within sampling noise), and so are their labels (both without any,
-   or block rates that a two-proportion test can't tell apart).
+   distance of their profiles is within sampling noise), and so are their labels (block rates that a
+   two-proportion test can't tell apart). A branch without labels of its own is tested with those that
+   the same shaped path has on all hosts; one without any is told by its structure alone.
 
-The leaf a url ends in is its template. A template is rejected if its labels' block rate, smoothed
-towards the rate of all labels by ``strength`` pseudo-counts, is over ``limit``; one without labels
-never is.
+The leaf a url ends in is its template. A template is rejected if its labelled purity, the block rate
+of its labels, is over ``limit``, smoothed by ``strength`` pseudo-counts towards what it inherits: the
+block rates of its shaped paths over all hosts, each of which is smoothed in the same way towards that of the
+path without its last segment, and so on up to the rate of all labels. So hosts that no rule speaks of
+are judged by what the rules say of like paths elsewhere.
 
 Counting merges map-side, so a host with a third of all urls is a few rows to a task; templates go
 back to urls by broadcast only while there are few, else by a join that splits hot keys.
 
 Defined results: a null url or one without ``://`` has an empty host and path, and the root template;
-an empty path is not a path ``/``; repeated rows count and are judged one by one; an empty table gives
-an empty table; no column but id and url is read.
+an empty path is not a path ``/``; repeated rows count and are judged one by one; without any label every
+template is allowed; an empty table gives an empty table; no column but id and url is read.
 """
 
 from __future__ import annotations
@@ -104,16 +107,21 @@ def _kind(segment: Column) -> Column:
     return F.when(segment.isNull(), "end").when(segment == "{n}", "number").when(segment.contains("{"), "mixed").otherwise("word")
 
 
+def _evidence(x: dict) -> tuple[float, float]:
+    """(labels, blocked) of a branch: its own, or else those of its paths on all hosts."""
+    return (x["labels"], x["blocked"]) if x["labels"] else (x["pooled"] / x["n"], x["pooled_blocked"] / x["n"])
+
+
 def alike(a: dict, b: dict, policy: TreePolicy) -> bool:
-    """Whether two sibling branches are statistically alike; a branch: n, labels, blocked, and the PROFILE counts."""
+    """Whether two sibling branches are statistically alike; a branch: _SUMS and the PROFILE counts."""
     distance = sum(abs(a[k] / a["n"] - b[k] / b["n"]) for k in PROFILE) / 2
     if distance > policy.noise + math.sqrt(len(PROFILE) / (2 * min(a["n"], b["n"]))) / 2:
         return False
-    if not a["labels"] or not b["labels"]:
-        return not a["labels"] and not b["labels"]
-    p = (a["blocked"] + b["blocked"]) / (a["labels"] + b["labels"])
-    spread = math.sqrt(p * (1 - p) * (1 / a["labels"] + 1 / b["labels"]))
-    return abs(a["blocked"] / a["labels"] - b["blocked"] / b["labels"]) <= policy.z * spread + 1e-12
+    (m, x), (n, y) = _evidence(a), _evidence(b)
+    if not m or not n:
+        return True
+    p = (x + y) / (m + n)
+    return abs(x / m - y / n) <= policy.z * math.sqrt(max(0.0, p * (1 - p)) * (1 / m + 1 / n)) + 1e-9
 
 
 def merge_siblings(branches: list[dict], policy: TreePolicy) -> dict[str, str]:
@@ -123,7 +131,7 @@ def merge_siblings(branches: list[dict], policy: TreePolicy) -> dict[str, str]:
         for names, total in groups:
             if alike(total, b, policy):
                 names.append(b["branch"])
-                for k in ("n", "labels", "blocked", *PROFILE):
+                for k in (*_SUMS, *PROFILE):
                     total[k] += b[k]
                 break
         else:
@@ -131,7 +139,8 @@ def merge_siblings(branches: list[dict], policy: TreePolicy) -> dict[str, str]:
     return {n: "|".join(sorted(names)) for names, _ in groups for n in names}
 
 
-_COUNTS = ("n", "labels", "blocked")
+#: Urls, labels, blocking labels; and, summed over urls, the labels and blocking labels of their shaped path on all hosts.
+_SUMS = ("n", "labels", "blocked", "pooled", "pooled_blocked")
 
 
 def _merge(batches: Iterator[pa.RecordBatch], policy: TreePolicy) -> Iterator[pa.RecordBatch]:
@@ -143,47 +152,72 @@ def _merge(batches: Iterator[pa.RecordBatch], policy: TreePolicy) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in columns], names=["host", "template", "branch", "merged"])
 
 
+def inherit(paths: DataFrame, prior: float, policy: TreePolicy) -> DataFrame:
+    """(host, segs, n, labels, blocked) rows -> the same with `above`, the labels and blocking labels that each beginning of the shaped
+    path has on all hosts, and `inherited`, the smoothed block rate down to the whole of it."""
+    begin = lambda k: F.array_join(F.slice("segs", 1, k), "/")
+    known = paths.groupBy("segs").agg(F.sum("labels").alias("l"), F.sum("blocked").alias("b"))
+    steps = c.materialize(known.where(F.size("segs") > 0).select("segs", "l", "b", F.explode(F.transform(F.sequence(F.lit(1), F.size("segs")), lambda k: F.struct(k.alias("k"), begin(k).alias("path")))).alias("p")).select("segs", "l", "b", "p.*"), "url-steps")
+    pooled = c.materialize(steps.groupBy("k", "path").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb")), "url-pooled")
+    told = steps.join(c.guarded(pooled), ["k", "path"]).groupBy("segs").agg(F.array_sort(F.collect_list(F.struct("k", "pl", "pb"))).alias("above"))  # at most depth + 1
+    smooth = F.aggregate("above", F.lit(float(prior)), lambda rate, x: (x["pb"] + F.lit(policy.strength) * rate) / (x["pl"] + F.lit(policy.strength)))
+    told = c.materialize(told.withColumn("inherited", smooth), "url-told")
+    out = paths.join(c.guarded(told), "segs", "left")
+    return out.withColumn("inherited", F.coalesce("inherited", F.lit(float(prior))))
+
+
 def templates(paths: DataFrame, policy: TreePolicy = TreePolicy()) -> DataFrame:
-    """(host, segs, n, labels, blocked) with distinct (host, segs) -> the same with `template`."""
+    """inherit()'s rows with distinct (host, segs) -> the same with `template`."""
     paths = c.materialize(paths.withColumn("template", F.lit("")), "url-paths")
     levels = paths.agg(F.max(F.size("segs"))).first()[0] or 0  # at most depth + 1
     for d in range(levels):
         here = paths.where(F.size("segs") > d).withColumn("seg", F.get("segs", F.lit(d))).withColumn("_next", _kind(F.get("segs", F.lit(d + 1))))
+        here = here.withColumn("pooled", F.col("n") * F.col("above")[d]["pl"]).withColumn("pooled_blocked", F.col("n") * F.col("above")[d]["pb"])
         kinds = [F.sum(F.when(F.col("_next") == k, F.col("n")).otherwise(0)).alias(k) for k in PROFILE]
-        kids = c.materialize(here.groupBy("host", "template", "seg").agg(*(F.sum(k).alias(k) for k in _COUNTS), *kinds), "url-kids")
+        kids = c.materialize(here.groupBy("host", "template", "seg").agg(*(F.sum(k).alias(k) for k in _SUMS), *kinds), "url-kids")
         nodes = c.materialize(kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("fan"), F.sum("n").alias("total")), "url-nodes")
         rare = (F.col("fan") > policy.fanout) & (F.col("n") * policy.fanout < F.col("total"))
         named = kids.join(c.guarded(nodes), ["host", "template"]).withColumn("branch", F.when(rare, "*").otherwise(F.col("seg")))
-        sums = named.groupBy("host", "template", "branch").agg(*(F.sum(k).alias(k) for k in (*_COUNTS, *PROFILE)))
-        siblings = sums.groupBy("host", "template").agg(F.collect_list(F.struct("branch", *_COUNTS, *PROFILE)).alias("branches"))  # at most fanout + 1
+        sums = named.groupBy("host", "template", "branch").agg(*(F.sum(k).alias(k) for k in (*_SUMS, *PROFILE)))
+        siblings = sums.groupBy("host", "template").agg(F.collect_list(F.struct("branch", *_SUMS, *PROFILE)).alias("branches"))  # at most fanout + 1
         merged = siblings.mapInArrow(lambda it: _merge(it, policy), "host string, template string, branch string, merged string")
         merged = c.materialize(merged, "url-merged")
         step = c.materialize(named.select("host", "template", "seg", "branch").join(c.guarded(merged), ["host", "template", "branch"]).select("host", "template", "seg", "merged"), "url-step")
         deeper = paths.withColumn("seg", F.get("segs", F.lit(d))).join(c.guarded(step), ["host", "template", "seg"], "left")
-        paths = c.materialize(
+        further = c.materialize(
             deeper.withColumn("template", F.when(F.col("merged").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "merged"))).drop("seg", "merged"),
             "url-paths",
         )
+        for old in (paths, kids, nodes, merged, step):
+            c.discard(old)
+        paths = further
     return paths
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], policy: TreePolicy = TreePolicy(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(id, host, path, rule, verdict, template, purity) for each row; purity is the template's smoothed block rate."""
+def judge(
+    pages: DataFrame, rules: Sequence[Rule], policy: TreePolicy = TreePolicy(), id_col: str = "page_id", url_col: str = "url", taught: Column | None = None
+) -> DataFrame:
+    """(id, host, path, rule, verdict, template, purity, tree_verdict) for each row; purity is the template's smoothed block rate and
+    tree_verdict what the tree says, whether a rule fits or not. `taught` is true for the rows whose rules are labels (all)."""
     c.ship(pages.sparkSession)
     url = F.col(url_col)
-    rows = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
+    rows = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), (F.lit(True) if taught is None else F.coalesce(taught, F.lit(False))).alias("_taught"))
     rows = rows.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules)).withColumn("segs", segments(F.col("path"), policy.depth))
     blocking = [r.name for r in rules if r.verdict == "block"]
     said = F.when(F.col("rule").isin(blocking) if blocking else F.lit(False), "block").otherwise("allow")
-    label = F.col("rule").isNotNull()
-    paths = rows.groupBy("host", "segs").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(label).alias("labels"), F.count_if(label & (said == "block")).alias("blocked")
+    label = F.col("rule").isNotNull() & F.col("_taught")
+    paths = c.materialize(
+        rows.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.count_if(label).alias("labels"), F.count_if(label & (said == "block")).alias("blocked")), "url-counts"
     )
-    leaves = templates(paths, policy)
-    total = leaves.agg(F.sum("labels").alias("labels"), F.sum("blocked").alias("blocked")).first()
+    total = paths.agg(F.sum("labels").alias("labels"), F.sum("blocked").alias("blocked")).first()
     prior = (total["blocked"] or 0) / total["labels"] if total["labels"] else 0.0
-    purity = (F.col("_b") + F.lit(policy.strength * prior)) / (F.col("_l") + F.lit(policy.strength))
-    rates = c.materialize(leaves.groupBy("host", "template").agg(F.sum("labels").alias("_l"), F.sum("blocked").alias("_b")).select("host", "template", purity.alias("purity"), (F.col("_l") > 0).alias("labelled")), "url-rates")
+    leaves = templates(inherit(paths, prior, policy), policy)
+    inherited = F.sum(F.col("n") * F.col("inherited")) / F.sum("n")
+    purity = (F.sum("blocked") + F.lit(policy.strength) * inherited) / (F.sum("labels") + F.lit(policy.strength))
+    rates = c.materialize(leaves.groupBy("host", "template").agg(purity.alias("purity")), "url-rates")
     told = c.materialize(leaves.select("host", "segs", "template").join(c.guarded(rates), ["host", "template"]), "url-templates")
-    verdict = F.when(label, said).when(F.col("labelled") & (F.col("purity") > policy.limit), "block").otherwise("allow")
-    return rows.join(c.guarded(told), ["host", "segs"], "left").select(id_col, "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    for old in (paths, leaves, rates):
+        c.discard(old)
+    tree = F.when(F.col("purity") > policy.limit, "block").otherwise("allow")
+    verdict = F.when(F.col("rule").isNotNull(), said).otherwise(tree)
+    return rows.join(c.guarded(told), ["host", "segs"], "left").select(id_col, "host", "path", "rule", verdict.alias("verdict"), "template", "purity", tree.alias("tree_verdict"))
