@@ -193,10 +193,12 @@ def integrate(spark: SparkSession, lake: Lake, on_zone_miss: str = "fail") -> di
     staged = lake.stage(gold.withColumn("_lost", lost & F.lit(on_zone_miss == "quarantine")), ("_lost", "source_file_month"))
     metrics = seen.get
     verify(metrics, looks, trip_rows.count())
+    changes = []
     for name, value in ((GOLD, "false"), (f"quarantine_{GOLD}", "true")):
         at = f"{staged.path}/_lost={value}"
-        there = [Segment(at, at)] if lake.store.exists(f"{lake.root}/{at}") else []
-        lake.table(name).adopt(there, gold.schema, ("source_file_month",), mode="overwrite")
+        there = [Segment(at, staged.path)] if lake.store.exists(f"{lake.root}/{at}") else []  # there is no folder without rows
+        changes.append(lake.table(name).adopting(there, gold.schema, ("source_file_month",), mode="overwrite"))
+    lake.commit(changes)
     return {"status": "success", "metrics": metrics, "gold_rows": lake.table(GOLD).read().count()}
 
 

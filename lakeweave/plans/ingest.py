@@ -2,7 +2,9 @@
 
 A run reads its source once: raw rows with lineage go to `bronze/<key>`, and everything after that
 reads those. Tags, counts and the split come from one more pass that writes accepted and refused rows
-side by side; their folders then become live, each instead of what the same source wrote before.
+side by side; their folders then become live, each instead of what the same source wrote before, in one
+commit of all tables and the ledger. (The fingerprint that tells whether the source has been taken in before
+is made by a pass of its own.)
 """
 
 from __future__ import annotations
@@ -19,10 +21,14 @@ from lakeweave.operators import quality
 from lakeweave.operators.grain import reduce_to
 from lakeweave.operators.shaping import shape
 from lakeweave.sources.reading import read_source, with_lineage
-from lakeweave.sources.snapshots import Lake, Segment
+from lakeweave.sources.snapshots import Change, Lake, Segment
 from lakeweave.sources.storage import Store
 
 LEDGER = "ledger_runs"
+
+#: The ledger is compacted when more runs than these have a folder of their own.
+LEDGER_FOLDERS = 100
+
 RUN = T.StructType(
     [T.StructField(n, T.StringType(), False) for n in ("run_id", "dataset_key", "dataset_name", "source_file", "source_sha256", "schema_version")]
     + [T.StructField(n, T.LongType(), False) for n in ("rows_read", "rows_accepted", "rows_quarantined", "rows_warned")]
@@ -80,23 +86,30 @@ def ingest(spark: SparkSession, lake: Lake, contract: Contract, path: str | None
     run = {"run_id": uuid.uuid4().hex, "dataset_key": contract.key, "dataset_name": contract.logical_name, "source_file": path.rstrip("/").rsplit("/", 1)[-1]}
     run |= {"source_sha256": "", "schema_version": contract.version, "started_at": _now()} | dict.fromkeys(_COUNTS, 0)
 
-    def record(status: str, error: str | None = None) -> dict:
+    def record(status: str, error: str | None = None, changes: tuple[Change, ...] = ()) -> dict:
+        """The run's row goes live with all that the run has written."""
         row = run | {"finished_at": _now(), "status": status, "error_message": error}
-        lake.table(LEDGER).append(spark.createDataFrame([tuple(row[n] for n in RUN.fieldNames())], RUN))
+        told = lake.stage(spark.createDataFrame([tuple(row[n] for n in RUN.fieldNames())], RUN).coalesce(1))
+        table = lake.table(LEDGER)
+        *_, m = lake.commit([*changes, table.adopting([Segment(told.path, told.path)], RUN)])
+        if len(m.segments) > LEDGER_FOLDERS:
+            table.compact()
         return row
 
     try:
         run["source_sha256"] = Store(spark).sha256(path)
         if not force and already_done(lake, contract, run["source_sha256"]):
             return record("skipped")
-        run |= _take_in(spark, lake, contract, path, run)
+        metrics, changes = _take_in(spark, lake, contract, path, run)
+        run |= metrics
+        return record("success", changes=changes)
     except Exception as e:
         record("failed", f"{type(e).__name__}: {e}"[:2000])
         raise
-    return record("success")
 
 
-def _take_in(spark: SparkSession, lake: Lake, contract: Contract, path: str, run: dict) -> dict[str, int]:
+def _take_in(spark: SparkSession, lake: Lake, contract: Contract, path: str, run: dict) -> tuple[dict[str, int], tuple[Change, ...]]:
+    """What the run counted, and the changes of its tables; their data is written but not live."""
     raw = with_lineage(
         read_source(spark, contract, path), source_file=run["source_file"], source_sha256=run["source_sha256"], ingested_at=run["started_at"], run_id=run["run_id"], schema_version=contract.version
     )
@@ -113,14 +126,14 @@ def _take_in(spark: SparkSession, lake: Lake, contract: Contract, path: str, run
     shaped = T.StructType([f for f in tagged.schema if f.name not in (quality.REJECTS, quality.WARNINGS)])
     good = f"{split.path}/_accepted=true"
     if contract.grain:
-        rows = spark.read.schema(shaped).option("basePath", f"{lake.root}/{good}").parquet(f"{lake.root}/{good}") if lake.store.exists(f"{lake.root}/{good}") else spark.createDataFrame([], shaped)
+        rows = spark.read.schema(shaped).option("basePath", f"{lake.root}/{good}").parquet(f"{lake.root}/{good}") if metrics["rows_accepted"] else spark.createDataFrame([], shaped)
         reduced = lake.stage(reduce_to(rows, contract.grain, contract))
         n = spark.read.schema(reduced.schema).parquet(f"{lake.root}/{reduced.path}").count()
         if contract.grain.expected_rows is not None and n != contract.grain.expected_rows:
             raise ContractError(f"{contract.key}: {n} rows were made, {contract.grain.expected_rows} are expected")
-        kept, kept_schema, partition_by = Segment(reduced.path, reduced.path, contract.key), reduced.schema, ()
+        kept, kept_schema, partition_by = [Segment(reduced.path, reduced.path, contract.key)], reduced.schema, ()
     else:
-        kept, kept_schema, partition_by = Segment(good, good, contract.key), shaped, contract.partition_by
+        kept, kept_schema, partition_by = [Segment(good, split.path, contract.key)] if metrics["rows_accepted"] else [], shaped, contract.partition_by
 
     reasons = T.StructType([*shaped, T.StructField("quarantine_reason", T.ArrayType(T.StringType()))])
     bad = f"{split.path}/_accepted=false"
@@ -129,11 +142,12 @@ def _take_in(spark: SparkSession, lake: Lake, contract: Contract, path: str, run
         rows = spark.read.schema(T.StructType([*shaped, T.StructField(quality.REJECTS, T.ArrayType(T.StringType()))])).option("basePath", f"{lake.root}/{bad}").parquet(f"{lake.root}/{bad}")
         out = lake.stage(rows.withColumnRenamed(quality.REJECTS, "quarantine_reason").select(*reasons.fieldNames()))
         refused = [Segment(out.path, out.path, contract.key)]
-    lake.table(_table("bronze", contract.key)).adopt([Segment(first.path, first.path)], first.schema, mode="overwrite")
-    lake.table(_table("silver", contract.logical_name)).adopt([kept], kept_schema, partition_by, mode="replace")
-    # also without refused rows: what this source's last run refused must go
-    lake.table(_table("quarantine", contract.logical_name)).adopt(refused, reasons, mode="replace", slices=(contract.key,))
-    return metrics
+    return metrics, (
+        lake.table(_table("bronze", contract.key)).adopting([Segment(first.path, first.path)], first.schema, mode="overwrite"),
+        # also without rows: what this source's last run accepted or refused must go
+        lake.table(_table("silver", contract.logical_name)).adopting(kept, kept_schema, partition_by, mode="replace", slices=(contract.key,)),
+        lake.table(_table("quarantine", contract.logical_name)).adopting(refused, reasons, mode="replace", slices=(contract.key,)),
+    )
 
 
 def ingest_all(spark: SparkSession, lake: Lake, registry: Registry, name: str = "all", *, force: bool = False) -> list[dict]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lakeweave.contracts import Contract, ContractError
 from lakeweave.operators import quality
 from lakeweave.operators.shaping import shape
-from lakeweave.sources.snapshots import Lake
+from lakeweave.sources.snapshots import Lake, Segment
 
 
 def arriving(spark: SparkSession, contract: Contract, folder: str) -> DataFrame:
@@ -33,8 +33,12 @@ def land(spark: SparkSession, lake: Lake, contract: Contract, folder: str, check
 
     def commit(batch: DataFrame, number: int) -> None:
         batch.persist()
-        lake.table(f"silver_{contract.logical_name}").replace(quality.accepted(batch), f"batch-{number}", contract.partition_by)
-        lake.table(f"quarantine_{contract.logical_name}").replace(quality.quarantined(batch), f"batch-{number}")
+        changes = []
+        for name, rows, keys in (("silver", quality.accepted(batch), contract.partition_by), ("quarantine", quality.quarantined(batch), ())):
+            staged = lake.stage(rows, keys)
+            segment = Segment(staged.path, staged.path, f"batch-{number}")
+            changes.append(lake.table(f"{name}_{contract.logical_name}").adopting([segment], staged.schema, keys, mode="replace"))
+        lake.commit(changes)
         batch.unpersist()
 
     return arriving(spark, contract, folder).writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

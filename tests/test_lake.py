@@ -11,7 +11,7 @@ from lakeweave.contracts import Contract, ContractError, Field, Rule
 from lakeweave.plans import city, ingest
 from lakeweave.sources import storage
 from lakeweave.sources.reading import read_source
-from lakeweave.sources.snapshots import Conflict, Lake
+from lakeweave.sources.snapshots import Conflict, Lake, Segment
 from lakeweave.streaming import arrivals
 
 
@@ -74,6 +74,95 @@ def test_lost_races_are_told(spark, lake, monkeypatch):
         t.append(spark.range(1))
 
 
+def test_rewriting_keeps_slices(spark, lake):
+    t = lake.table("t")
+    a = spark.createDataFrame([("x", 1), ("y", 2)], "m string, v int")
+    for k in (1, 2):
+        t.replace(a, f"s{k}", ("m",))
+    for rewrite in (t.compact, lambda: t.delete("v = 1"), lambda: t.compact(cluster_by=("v",))):
+        rewrite()
+        assert {s.slice for s in t.manifest().segments} == {"s1", "s2"}
+        t.replace(a, "s1")
+        assert t.read().where("v = 2").count() == 2 and t.read().where("v = 1").count() in (1, 2)
+    t.delete("true")
+    assert t.read().count() == 0 and t.manifest().segments == ()
+
+
+def test_what_is_appended_while_a_table_is_rewritten_stays(spark, lake, monkeypatch):
+    t, stage, seen = lake.table("t"), lake.stage, []
+    t.replace(spark.range(10), "a")
+
+    def late(df, *args, **more):
+        out = stage(df, *args, **more)
+        if not seen:
+            seen.append(1)
+            t.append(spark.range(100, 110))
+        return out
+
+    monkeypatch.setattr(lake, "stage", late)
+    t.compact()
+    assert t.read().count() == 20
+    # what was replaced meanwhile is not brought back
+    seen.clear()
+    monkeypatch.setattr(lake, "stage", lambda df, *a, **k: (out := stage(df, *a, **k), seen or (seen.append(1), t.replace(spark.range(3), "a")))[0])
+    t.delete("id = 105")
+    assert t.read().count() == 3 + 9
+
+
+def test_a_lost_folder_is_an_error(spark, lake):
+    t = lake.table("t")
+    t.append(spark.range(10))
+    t.append(spark.range(10))
+    lake.store.delete(f"{lake.root}/{t.manifest().segments[0].path}")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        t.read().count()
+
+
+def test_several_tables_change_together(spark, lake, monkeypatch):
+    one, two = lake.table("one"), lake.table("two")
+    one.append(spark.range(1))
+
+    def changes():
+        out = []
+        for t in (one, two):
+            staged = lake.stage(spark.range(5))
+            out.append(t.adopting([Segment(staged.path, staged.path)], staged.schema))
+        return out
+
+    create = lake.store.create
+    monkeypatch.setattr(lake.store, "create", lambda path, text: (_ for _ in ()).throw(OSError("dead")) if "/transactions/" in path else create(path, text))
+    with pytest.raises(OSError):  # the writer dies between its manifests and its commit
+        lake.commit(changes())
+    monkeypatch.setattr(lake.store, "create", create)
+    assert one.read().count() == 1 and not two.exists() and one.versions() == [1]
+    one.append(spark.range(1))  # ends what was left open
+    assert one.read().count() == 2 and one.versions() == [1, 3]
+    lake.commit(changes())
+    assert one.read().count() == 7 and two.read().count() == 5
+    assert one.vacuum() >= 1 and one.read().count() == 7 and two.read().count() == 5
+
+
+def test_partitions_are_replaced_by_value(spark, lake):
+    t = lake.table("t")
+    t.append(spark.createDataFrame([("a/b", 1), ("y", 2), ("z", 3)], "m string, v int"), ("m",))
+    t.append(spark.createDataFrame([("y", 20)], "m string, v int"))
+    t.replace_partitions(spark.createDataFrame([("y", 7), ("a/b", 8)], "m string, v int"), ("m",))
+    assert rows(t.read()) == [("a/b", 8), ("y", 7), ("z", 3)]
+    t.replace_partitions(spark.createDataFrame([], "m string, v int"), ("m",), ({"m": "z"},))
+    assert rows(t.read()) == [("a/b", 8), ("y", 7)]
+    t.compact()
+    t.replace_partitions(spark.createDataFrame([("y", 9)], "m string, v int"), ("m",))
+    assert rows(t.read()) == [("a/b", 8), ("y", 9)]
+
+
+def test_many_appends_are_one_scan(spark, lake):
+    t = lake.table("t")
+    for i in range(12):
+        t.append(spark.createDataFrame([(f"m{i % 3}", i)], "m string, v int"), ("m",))
+    plan = t.read()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and t.read().count() == 12
+
+
 def test_empty_tables_have_a_schema(spark, lake):
     lake.table("t").create(spark.range(0).schema)
     lake.table("t").create(spark.createDataFrame([], "other int").schema)
