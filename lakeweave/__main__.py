@@ -49,7 +49,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         else:
             out = city.benchmark(spark, lake)
             if args.report:
-                layouts.write_report(out, args.report)
+                layouts.write_report(lake.store, out, args.report)
             out["queries"] = {x: {n: {k: v for k, v in q.items() if k != "plan"} for n, q in qs.items()} for x, qs in out["queries"].items()}
         print(json.dumps(out, default=str, indent=2, sort_keys=True))
     finally:

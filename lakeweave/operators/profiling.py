@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from lakeweave.sources.storage import Store
 
-#: Distinct values are listed up to this estimate; beyond it only the estimate is told.
-LISTED_VALUES = 100
-
-
 def profile_columns(rows: DataFrame, predicates: dict[str, str] | None = None) -> dict:
     """Row count, and for each column nulls, least, greatest and estimated distinct values; predicates are counted by name.
     One pass; an action."""
@@ -30,12 +26,10 @@ def profile_columns(rows: DataFrame, predicates: dict[str, str] | None = None) -
     return {"rows": row["rows"], "columns": columns, "counts": {n: row[f"_p{i}"] for i, n in enumerate(predicates or {})}}
 
 
-def distinct_values(rows: DataFrame, columns: list[str]) -> dict[str, list | None]:
-    """The sorted values of each column that has few; None for one that has many. Two actions."""
-    estimates = rows.agg(*(F.approx_count_distinct(f"`{n}`").alias(f"c{i}") for i, n in enumerate(columns))).first()
-    few = [n for i, n in enumerate(columns) if estimates[f"c{i}"] <= LISTED_VALUES]
-    found = rows.agg(*(F.array_sort(F.collect_set(f"`{n}`")).alias(f"c{i}") for i, n in enumerate(few))).first() if few else {}
-    return {n: (found[f"c{few.index(n)}"] if n in few else None) for n in columns}
+def distinct_values(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, value as text) for every value of the columns but null, however many there are; partial sums, one shuffle."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("column_name"), F.col(f"`{n}`").cast("string").alias("value")) for n in columns)))
+    return rows.select(each.alias("v")).select("v.*").where("value is not null").distinct()
 
 
 def null_min_max(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -64,17 +58,17 @@ def rows_per_bucket(rows: DataFrame, bucket: str) -> DataFrame:
 
 
 def file_profile(spark: SparkSession, path: str) -> dict:
-    """Files and bytes of a Parquet source, its rows and columns; row groups too where the files are on this machine."""
-    files, size = Store(spark).usage(path)
+    """Files, bytes, row groups and codecs of a Parquet source, its rows, columns and schema. Footers are read on the driver, one file at
+    a time, as a profile of a source at hand needs; for a table's size alone there is `SnapshotTable.active_stats`."""
+    store = Store(spark)
+    files = store.files(path)
     rows = spark.read.parquet(path)
-    out = {"files": files or 1, "bytes": size, "rows": rows.count(), "schema": json.loads(rows.schema.json())}
-    local = path.removeprefix("file://")
-    if "://" not in local:
-        import glob
-        import os
-
-        import pyarrow.parquet as pq
-
-        parts = sorted(glob.glob(f"{glob.escape(local)}/**/*.parquet", recursive=True)) if os.path.isdir(local) else [local]
-        out["row_groups"] = sum(pq.ParquetFile(p).metadata.num_row_groups for p in parts)
-    return out
+    feet = [store.parquet_footer(f) for f, _ in files]
+    return {
+        "files": len(files),
+        "bytes": sum(n for _, n in files),
+        "rows": rows.count(),
+        "row_groups": sum(n for n, _ in feet),
+        "codecs": sorted({x for _, codecs in feet for x in codecs}),
+        "schema": json.loads(rows.schema.json()),
+    }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,10 @@ def repeated_key(*keys: str) -> Column:
 
 def tag(shaped: DataFrame, contract: Contract) -> DataFrame:
     """The rows with _rejects and _warnings, arrays of rule names. Keys are counted over the rows that no rule refuses, so
-    that a refused row can't take a sound one with it; all copies of a repeated key are refused, and null keys."""
+    that a refused row can't take a sound one with it; all copies of a repeated key are refused, and null keys.
+
+    Only keys are counted, with partial sums; the repeated ones meet the rows by a join that the planner may broadcast or split, so
+    that neither a key with many rows nor the rows without a key meet in one task."""
     out = shaped.withColumns({REJECTS: flags(_named(contract, "reject")), WARNINGS: flags(_named(contract, "warn"))})
     if not contract.unique:
         return out
@@ -31,9 +36,15 @@ def tag(shaped: DataFrame, contract: Contract) -> DataFrame:
     for k in contract.unique:
         missing = missing | F.col(k).isNull()
     out = out.withColumn(REJECTS, F.when(missing, F.array_append(REJECTS, F.lit(f"missing_{name}"))).otherwise(F.col(REJECTS)))
-    sound = F.size(REJECTS) == 0
-    again = sound & (F.count_if(sound).over(Window.partitionBy(*contract.unique)) > 1)
-    return out.withColumn(REJECTS, F.when(again, F.array_append(REJECTS, F.lit(f"duplicate_{name}"))).otherwise(F.col(REJECTS)))
+    sound, mark = F.size(REJECTS) == 0, f"_again{uuid.uuid4().hex[:8]}"
+    keys = [f"{mark}_{i}" for i in range(len(contract.unique))]
+    counted = out.where(sound).groupBy(*(F.col(f"`{k}`").alias(x) for k, x in zip(contract.unique, keys))).agg(F.count(F.lit(1)).alias(mark))
+    same = F.lit(True)
+    for k, x in zip(contract.unique, keys):
+        same = same & (F.col(f"`{k}`") == F.col(x))
+    both = out.join(counted.where(F.col(mark) > 1), same, "left")
+    again = sound & F.col(mark).isNotNull()
+    return both.withColumn(REJECTS, F.when(again, F.array_append(REJECTS, F.lit(f"duplicate_{name}"))).otherwise(F.col(REJECTS))).drop(mark, *keys)
 
 
 def accepted(tagged: DataFrame) -> DataFrame:

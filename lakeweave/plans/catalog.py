@@ -1,6 +1,6 @@
 """The registered queries over the driver's tables, each beside the SQL that gives the same rows.
 
-`QUERIES` maps a name to (function of (spark, folder) -> DataFrame, SQL). Each query goes through the
+Each query goes through the
 library's operators; what the operators mean is said once more, independently, by its SQL.
 """
 
@@ -20,27 +20,11 @@ from lakeweave.operators.enrich import Lookup, enrich, misses, unmatched_keys
 from lakeweave.operators.grain import lower_median, reduce_to
 from lakeweave.operators.shaping import shape
 from lakeweave.plans import ingest, layouts
+from lakeweave.plans.registered import QUERIES, query, read
 from lakeweave.sources.reading import from_rows, read_source, with_lineage
 from lakeweave.sources.scratch import scratch_lake
 from lakeweave.streaming import arrivals
 
-QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
-
-
-def query(sql: str):
-    """Register a function and its SQL under the function's name."""
-
-    def put(f):
-        QUERIES[f.__name__] = f, sql
-        return f
-
-    return put
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # -- contracts over the driver's tables ----------------------------------------------------------
 
 LINEITEM = tuple(
@@ -108,9 +92,10 @@ _ORDERS_BY_REGION = "FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEF
 def _orders_with_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
     customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    # a nation's region is looked up among the nations, of which there are few, before any order meets it
-    nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return orders.join(customer, orders.o_custkey == customer.c_custkey, "left").join(F.broadcast(nation.select("n_nationkey", "r_name")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    # a nation's region is looked up among the nations before any order meets it; lookups are broadcast by their measured size
+    nation = enrich(read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), [Lookup("region", read(spark, sf_dir, "region"), "n_regionkey", "r_regionkey", {"r_name": "r_name"})])
+    placed = orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
+    return enrich(placed, [Lookup("nation", nation, "c_nationkey", "n_nationkey", {"r_name": "r_name"})])
 
 
 @query(f"SELECT r_name, count(*) AS orders {_ORDERS_BY_REGION}")
@@ -264,7 +249,10 @@ def q_hourly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _context(spark: SparkSession, sf_dir: str, hour) -> DataFrame:
     events = read(spark, sf_dir, "events")
-    context = hourly(events.where("event_type = 'purchase'"))
+    # written once: a lookup is read twice, to prove its key and to join
+    table = scratch_lake(spark).table("purchases")
+    table.overwrite(hourly(events.where("event_type = 'purchase'")))
+    context = table.read()
     look = Lookup("purchases", context, "event_hour", "hour", {"value_mean": "mean", "observations": "observations"}, "purchase_", keep_key="purchase_hour")
     fact = events.withColumn("event_hour", hour.cast("timestamp_ntz"))
     out = enrich(fact, [look])
@@ -366,11 +354,10 @@ def q_obs_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.rows_per_bucket(read(spark, sf_dir, "events"), "date_trunc('hour', ts)")
 
 
-@query("SELECT column_name, value FROM (SELECT DISTINCT 'event_type' AS column_name, event_type AS value FROM events UNION ALL SELECT 'event_id', NULL)")
+@query("SELECT DISTINCT 'event_type' AS column_name, event_type AS value FROM events UNION ALL SELECT DISTINCT 'user_id', user_id::VARCHAR FROM events")
 def q_distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The values of columns that have few; a null for one that has many."""
-    found = profiling.distinct_values(read(spark, sf_dir, "events"), ["event_type", "event_id"])
-    return from_rows(spark, [(n, v) for n, values in found.items() for v in (values or [None])], "column_name string, value string")
+    """All values of two columns, one of which has many."""
+    return profiling.distinct_values(read(spark, sf_dir, "events"), ["event_type", "user_id"])
 
 
 # -- sources and tables --------------------------------------------------------------------------
@@ -544,12 +531,15 @@ def q_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders")
     found = profiling.profile_columns(rows, {"dear": "o_totalprice > 100000"})
     values = profiling.distinct_values(rows, ["o_orderstatus"])
-    return from_rows(spark, [("orders", found["rows"], found["counts"]["dear"], len(values["o_orderstatus"]))], "table_name string, rows long, counted long, statuses long")
+    return from_rows(spark, [("orders", found["rows"], found["counts"]["dear"], values.count())], "table_name string, rows long, counted long, statuses long")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from lakeweave.plans import catalog_runs  # noqa: F401 registers more
+
     return {n: f for n, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {n: sql for n, (_, sql) in QUERIES.items()}

@@ -10,12 +10,12 @@ import statistics
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, Row
 
 from lakeweave.contracts import ContractError
 from lakeweave.sources.snapshots import Lake, Segment
+from lakeweave.sources.storage import Store
 
 
 @dataclass(frozen=True)
@@ -79,14 +79,13 @@ def compare(lake: Lake, source: Callable[[], DataFrame], layouts: list[Layout],
     return {"storage": storage, "queries": timings}
 
 
-def write_report(report: dict, folder: str | Path) -> list[Path]:
-    """The report without plans, and the plans, as JSON files."""
-    folder = Path(folder)
-    folder.mkdir(parents=True, exist_ok=True)
+def write_report(store: Store, report: dict, folder: str) -> list[str]:
+    """The report without plans, and the plans, as JSON files in a folder of any store."""
     plans = {f"{x}/{n}": q["plan"] for x, qs in report["queries"].items() for n, q in qs.items()}
     slim = report | {"queries": {x: {n: {k: v for k, v in q.items() if k != "plan"} for n, q in qs.items()} for x, qs in report["queries"].items()}}
     out = []
     for name, what in (("layout_report.json", slim), ("layout_plans.json", plans)):
-        out.append(folder / name)
-        out[-1].write_text(json.dumps(what, indent=2, sort_keys=True, default=str))
+        out.append(f"{folder.rstrip('/')}/{name}")
+        store.delete(out[-1])
+        store.create(out[-1], json.dumps(what, indent=2, sort_keys=True, default=str))
     return out

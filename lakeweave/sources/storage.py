@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import hashlib
-import zipfile
-from pathlib import Path
+import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-CHUNK = 1 << 20
+#: Files of a folder up to this size are digested by the executors, which hold one whole; larger ones by the driver in pieces.
+DIGEST_BYTES = 512 << 20
 
 
 class Store:
     """Small driver-side file operations; data files are left to Spark."""
 
     def __init__(self, spark: SparkSession):
-        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.spark, self.jvm, self.conf = spark, spark._jvm, spark._jsc.hadoopConfiguration()
         self.gateway = spark.sparkContext._gateway
 
     def _at(self, path: str):
@@ -30,18 +31,34 @@ class Store:
         fs, where = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
-    def usage(self, path: str) -> tuple[int, int]:
-        """(data files, bytes) below a folder."""
+    def files(self, path: str) -> list[tuple[str, int]]:
+        """(path, bytes) of the data files below a folder, or of a file itself."""
         fs, where = self._at(path)
-        files = size = 0
-        todo = [where] if fs.exists(where) else []
+        if not fs.exists(where):
+            return []
+        out, todo = [], [fs.getFileStatus(where)]
         while todo:
-            for s in fs.listStatus(todo.pop()):
-                if s.isDirectory():
-                    todo.append(s.getPath())
-                elif not s.getPath().getName().startswith(("_", ".")):
-                    files, size = files + 1, size + s.getLen()
-        return files, size
+            s = todo.pop()
+            if s.isDirectory():
+                todo += [x for x in fs.listStatus(s.getPath()) if not x.getPath().getName().startswith(("_", ".")) or "=" in x.getPath().getName()]
+            else:
+                out.append((s.getPath().toString(), s.getLen()))
+        return sorted(out)
+
+    def usage(self, path: str) -> tuple[int, int]:
+        """(data files, bytes) below a folder."""
+        found = self.files(path)
+        return len(found), sum(n for _, n in found)
+
+    def parquet_footer(self, path: str) -> tuple[int, set[str]]:
+        """A Parquet file's number of row groups, and its columns' codecs."""
+        parquet = self.jvm.org.apache.parquet.hadoop
+        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(self._at(path)[1], self.conf))
+        try:
+            groups = reader.getRowGroups()
+            return groups.size(), {str(c.getCodec()) for g in groups for c in g.getColumns()}
+        finally:
+            reader.close()
 
     def read(self, path: str) -> str:
         fs, where = self._at(path)
@@ -51,12 +68,13 @@ class Store:
         finally:
             stream.close()
 
-    def create(self, path: str, text: str) -> bool:
+    def create(self, path: str, text: str | bytes) -> bool:
         """Write a new file at once: whole or not at all; False if the name is taken."""
         fs, where = self._at(path)
-        part = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{hashlib.sha256(text.encode()).hexdigest()[:12]}.part")
+        data = text.encode() if isinstance(text, str) else text
+        part = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:12]}.part")
         out = fs.create(part, True)
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(data))
         out.close()
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri(), self.conf)
         none = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
@@ -73,55 +91,60 @@ class Store:
         fs, where = self._at(path)
         fs.delete(where, True)
 
+    def _digest(self, stream) -> str:
+        try:
+            return self.jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
+
     def sha256(self, path: str) -> str:
-        """The digest of a file's bytes, read in pieces; of a folder, that of its files' names and digests in order."""
+        """The digest of a file's bytes, read in pieces; of a folder, that of its data files' names and digests in order. A folder's
+        files are digested by the executors, and come to the driver as one short row each, a partition at a time."""
         fs, where = self._at(path)
         if not fs.exists(where):
             raise FileNotFoundError(path)
-        if fs.getFileStatus(where).isDirectory():
-            whole = hashlib.sha256()
-            for name in self.names(path):
-                if not name.startswith(("_", ".")):
-                    whole.update(f"{name}\0{self.sha256(f'{path}/{name}')}\0".encode())
-            return whole.hexdigest()
-        stream = fs.open(where)
+        if not fs.getFileStatus(where).isDirectory():
+            return self._digest(fs.open(where))
+        root = fs.makeQualified(where).toString().rstrip("/")
+        large = {f: self._digest(fs.open(self._at(f)[1])) for f, n in self.files(path) if n > DIGEST_BYTES}
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= DIGEST_BYTES)
+        whole, rest = hashlib.sha256(), sorted(large)
+        for row in found.select("path", F.sha2("content", 256).alias("digest")).orderBy("path").toLocalIterator():
+            while rest and rest[0] < row["path"]:
+                whole.update(f"{rest[0].removeprefix(root)}\0{large[rest.pop(0)]}\0".encode())
+            whole.update(f"{row['path'].removeprefix(root)}\0{row['digest']}\0".encode())
+        for f in rest:
+            whole.update(f"{f.removeprefix(root)}\0{large[f]}\0".encode())
+        return whole.hexdigest()
+
+    def verify_manifest(self, manifest: str, folder: str) -> dict[str, bool]:
+        """File name -> whether its SHA-256 is that of the manifest, whose lines are `<hex digest>  <name>`."""
+        out = {}
+        for line in self.read(manifest).splitlines():
+            if line.strip():
+                digest, name = line.split(maxsplit=1)
+                name = name.lstrip("*").strip()
+                out[name] = self.exists(f"{folder}/{name}") and self.sha256(f"{folder}/{name}") == digest.lower()
+        return out
+
+    def verify_archive(self, archive: str, extracted: str) -> dict[str, bool]:
+        """Whether a ZIP archive holds exactly one file, and that file has the extracted one's name, size and bytes."""
+        fs, where = self._at(archive)
+        entries = []  # name, bytes, digest
+        stream = self.jvm.java.util.zip.ZipInputStream(fs.open(where))
         try:
-            return self.jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+            while (e := stream.getNextEntry()) is not None:
+                if not e.isDirectory():
+                    digest = self.jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+                    entries.append((e.getName(), e.getSize(), digest))  # the size is known once the entry has been read
         finally:
             stream.close()
-
-
-def verify_manifest(manifest: str | Path, folder: str | Path) -> dict[str, bool]:
-    """File name -> whether its SHA-256 is that of the manifest, whose lines are `<hex digest>  <name>`."""
-    out = {}
-    for line in Path(manifest).read_text().splitlines():
-        if not line.strip():
-            continue
-        digest, name = line.split(maxsplit=1)
-        name = name.lstrip("*").strip()
-        path = Path(folder) / name
-        out[name] = path.is_file() and _local_sha256(path.open("rb")) == digest.lower()
-    return out
-
-
-def verify_archive(archive: str | Path, extracted: str | Path) -> dict[str, object]:
-    """Whether a ZIP archive holds exactly one file, and that file has the extracted one's name, size and bytes."""
-    extracted = Path(extracted)
-    with zipfile.ZipFile(archive) as z:
-        entries = [i for i in z.infolist() if not i.is_dir()]
+        files = self.files(extracted)
         one = entries[0] if len(entries) == 1 else None
-        there = one is not None and extracted.is_file()
+        there = one is not None and len(files) == 1
         return {
             "single_entry": one is not None,
-            "same_name": one is not None and Path(one.filename).name == extracted.name,
-            "same_size": there and one.file_size == extracted.stat().st_size,
-            "same_bytes": there and _local_sha256(z.open(one)) == _local_sha256(extracted.open("rb")),
+            "same_name": one is not None and one[0].rsplit("/", 1)[-1] == extracted.rsplit("/", 1)[-1],
+            "same_size": there and one[1] == files[0][1],
+            "same_bytes": there and one[2] == self.sha256(extracted),
         }
-
-
-def _local_sha256(stream) -> str:
-    whole = hashlib.sha256()
-    with stream:
-        while block := stream.read(CHUNK):
-            whole.update(block)
-    return whole.hexdigest()

@@ -29,7 +29,7 @@ def duck(sf_dir):
         yield con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_its_sql(spark, sf_dir, duck, name):
     want = duck.sql(catalog.oracle_sql()[name])
     got = catalog.queries()[name](spark, sf_dir)

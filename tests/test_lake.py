@@ -203,12 +203,12 @@ def test_integrity_of_files(spark, tmp_path):
     digest = hashlib.sha256(b"x" * 3_000_000).hexdigest()
     assert storage.Store(spark).sha256(str(tmp_path / "a.csv")) == digest
     (tmp_path / "sums").write_text(f"{digest}  a.csv\n{'0' * 64}  b.csv\n")
-    assert storage.verify_manifest(tmp_path / "sums", tmp_path) == {"a.csv": True, "b.csv": False}
+    assert storage.Store(spark).verify_manifest(str(tmp_path / "sums"), str(tmp_path)) == {"a.csv": True, "b.csv": False}
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.write(tmp_path / "a.csv", "a.csv")
-    assert all(storage.verify_archive(tmp_path / "a.zip", tmp_path / "a.csv").values())
+    assert all(storage.Store(spark).verify_archive(str(tmp_path / "a.zip"), str(tmp_path / "a.csv")).values())
     (tmp_path / "a.csv").write_bytes(b"y" * 3_000_000)
-    assert storage.verify_archive(tmp_path / "a.zip", tmp_path / "a.csv") == {"single_entry": True, "same_name": True, "same_size": True, "same_bytes": False}
+    assert storage.Store(spark).verify_archive(str(tmp_path / "a.zip"), str(tmp_path / "a.csv")) == {"single_entry": True, "same_name": True, "same_size": True, "same_bytes": False}
 
 
 # -- runs ----------------------------------------------------------------------------------------
