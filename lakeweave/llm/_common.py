@@ -56,8 +56,25 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), f"lakeweave-{spark.sparkContext.applicationId}")
 
 
+_roots: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/lakeweave/{label}-{uuid.uuid4().hex}"
+    """A new path below this application's part of the shared folder, which goes when the driver's JVM ends."""
+    root = f"{shared_dir(spark)}/lakeweave/{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        where = spark._jvm.org.apache.hadoop.fs.Path(root)
+        store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(where)
+        store.deleteOnExit(where)
+        _roots.add(root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that the operators have written on their way; what still reads it fails. For sessions that live long."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lakeweave/{spark.sparkContext.applicationId}")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -72,7 +89,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the table that materialize() wrote, when nothing will read it again."""
-    path = getattr(df, "_scratch", None)
+    path = vars(df).get("_scratch")  # not by attribute: a column may have that name
     if path:
         spark = df.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -15,9 +15,9 @@ within 2 are within 3 of that node, so the whole meeting is connected; and any t
 have such a point. That is linear in the bucket, exact, and each meeting has a bounded size.
 
 Defined results: a null text is empty; a text without words has fingerprint zero, which links like
-any other; fewer words than a shingle make one shingle of the whole sequence; repeated rows and ids
-are rows of their own; rows whose id is null get a fingerprint, but as no node can carry them, their
-component is that of the rows with the same fingerprint, or null if none of those has an id.
+any other; fewer words than a shingle make one shingle of the whole sequence; repeated rows are
+rows of their own; rows with one id are one document, so their fingerprints link whatever they are; rows whose id is null get a fingerprint and link like others, so that they may
+join groups of rows with ids; their component is the smallest id in reach, or null if there is none.
 """
 
 from __future__ import annotations
@@ -131,6 +131,7 @@ def _flips(mask: int) -> list[int]:
 def links(nodes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(fp, rep) with distinct fp -> (u, v) of reps, spanning all nodes that are linked within a table's bucket."""
     spark = nodes.sparkSession
+    c.ship(spark)
     keyed = nodes.select(
         "fp", "rep", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in MASKS))).alias("t", "key")
     )
@@ -152,9 +153,19 @@ def links(nodes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 def near_duplicates(prints: DataFrame, id_col: str = "doc_id", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(id, fp) rows -> (id, fp, component_id); `prints` should be a written table, as it is read twice."""
     groups = c.materialize(prints.groupBy("fp").agg(F.min(id_col).alias("rep")), "simhash-nodes")
-    linked = components(links(groups.where("rep is not null"), bucket_rows))
-    named = groups.join(linked, groups.rep == linked.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # nodes are fingerprints: one whose rows have no id links its neighbours all the same
+    found = links(groups.select("fp", F.col("fp").alias("rep")), bucket_rows)
+    twice = prints.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_i")).agg(F.min("fp").alias("_f"), F.max("fp").alias("_l")).where("_f <> _l")
+    twice = c.materialize(twice.select("_i", "_f"), "simhash-twice")
+    one = prints.join(c.guarded(twice), F.col(id_col) == F.col("_i")).select(F.col("fp").alias("u"), F.col("_f").alias("v")).where("u <> v")
+    linked = c.materialize(components(found.union(one)), "simhash-linked")
+    members = c.materialize(groups.join(linked, groups.fp == linked.node).select("fp", "rep", "component"), "simhash-members")
+    least = members.groupBy(F.col("component").alias("_c")).agg(F.min("rep").alias("component_id"))
+    reached = members.join(least, F.col("component") == F.col("_c")).select(F.col("fp").alias("_fp"), "component_id")
+    named = groups.join(reached, F.col("fp") == F.col("_fp"), "left").select("fp", F.when(F.col("_fp").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
     named = c.materialize(named, "simhash-components")
+    for old in (groups, twice, linked, members):
+        c.discard(old)
     return prints.join(named, "fp", "left").select(id_col, "fp", "component_id")
 
 

@@ -87,6 +87,13 @@ def test_odd_rows(spark):
     assert simhash.near_duplicates(simhash.fingerprints(empty)).count() == 0
 
 
+def test_rows_without_an_id_link_their_neighbours(spark):
+    """0 and 63 differ by 6 bits; 7, whose row has no id, lies between. A chain without any id has no component."""
+    rows = [(1, 0), (None, 7), (2, 63), (None, 2**40 - 1), (None, 2**40 - 2), (5, -1), (6, 2**50), (6, 2**51 + 2**52 + 2**53 + 2**54)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
+    assert {r.fp: r.component_id for r in got} == {0: 1, 7: 1, 63: 1, 2**40 - 1: None, 2**40 - 2: None, -1: 5, 2**50: 1, 2**51 + 2**52 + 2**53 + 2**54: 1}
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     path = [(i, i + 1) for i in range(300)]
     hub = [(1000, 1000 + i) for i in range(1, 200)]
