@@ -24,6 +24,7 @@ an empty table needs no sequence.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -75,6 +76,12 @@ class ByteTokens:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        spec = json.loads(self.library.to_str())
+        split = spec["pre_tokenizer"] or {}
+        # files that normalise or split in another way are given to the library text by text
+        self.by_words = spec["normalizer"] is None and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) == ("ByteLevel", False, True) and spec["truncation"] is spec["padding"] is None
+        self.library.no_truncation()
+        self.library.no_padding()
 
         def of(kind: str) -> str:
             return "".join(f"\\u{p:04x}" for p in range(0x200) if unicodedata.category(chr(p))[0] == kind)
@@ -119,6 +126,8 @@ class ByteTokens:
 
     def encode(self, many: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_words:
+            return [self._whole(t) for t in many]
         words = [None if self.odd.search(t) or any(s in t for s in self.special) else self.split.findall(t) for t in many]
         known = self.known
         here = {w: known.get(w) for w in set().union(*(w for w in words if w))}
@@ -353,23 +362,25 @@ def _places(batches: Iterator[pa.RecordBatch], runs: list[Run]) -> Iterator[pa.R
         )
 
 
-def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, written: bool = False) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset. `cut_pieces` should be a written
-    table, as it is read three times; its columns stay."""
+    table, as it is read three times; its columns stay. `written`: it is a Parquet table just as it was read."""
     spark = cut_pieces.sparkSession
     c.ship(spark)
     histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     runs = plan(histogram, capacity)
     salts = max(8, -(-sum(histogram.values()) // ROWS_PER_SALT))
-    salted = cut_pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    # rows without an id, or with one that repeats, are told apart by their place in the written table, which is the same whenever it is read
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index") if written else F.lit(0)
+    salted = cut_pieces.select("*", place.alias("_place")).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "_place"), F.lit(salts)))
     counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_before"))
-    numbered = salted.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")))
+    numbered = salted.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32", "_place")))
     ranked = numbered.join(starts, ["length", "_salt"]).select(*cut_pieces.columns, (F.col("_before") + F.col("_row") - 1).alias("rank"))
     schema = T.StructType([*cut_pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(lambda it: _places(it, runs), schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    return pack(c.materialize(pieces(docs, path, capacity), "pieces"), capacity)
+    return pack(c.materialize(pieces(docs, path, capacity), "pieces"), capacity, written=True)

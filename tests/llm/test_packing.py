@@ -144,3 +144,26 @@ def test_best_pair_equals_all_pairs():
         pieces = sorted(histogram.elements(), reverse=True)
         pairs = [(a, b) for a, b in combinations(pieces, 2) if a + b <= limit]
         assert sum(instance.best_pair(limit, ())) == max(map(sum, pairs), default=0)
+
+
+def test_rows_without_an_id_are_dealt_over_the_salts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_PER_SALT", 50)
+    docs = spark.createDataFrame([(None, "same text") for _ in range(3000)], "doc_id long, text string").repartition(3)
+    rows = packing.pack_documents(docs, queries.tokenizer_path("byte_bpe_50k.json")).collect()
+    assert len(rows) == 3000 == len({(r.sequence_id, r.offset) for r in rows})
+    n = rows[0].length
+    assert len({r.sequence_id for r in rows}) == -(-3000 // (2048 // n))
+
+
+def test_other_ways_of_splitting_are_left_to_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(queries.tokenizer_path("byte_bpe_50k.json"), encoding="utf-8"))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    texts = ["plain words", "", "Über 12 things", "x" * 300]
+    want = [np.array(Tokenizer.from_file(str(path)).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert packing.ByteTokens(str(path)).encode(texts) == want
