@@ -42,6 +42,17 @@ NEVER = 1 << 60
 _ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-įı-ǿ]")
 
 
+# The normalisation and the splitting of texts that this encoder knows, as tokenizer files say them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 def byte_chars() -> list[str]:
     """The visible character that stands for each byte in byte-level vocabularies."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -79,6 +90,9 @@ class Bpe:
         self.byte_map = {b: ch for b, ch in enumerate(byte_chars())}
         letters, numbers, spaces = _class_of("L"), _class_of("N"), "\\u0009-\\u000d\\u0020\\u00a0"
         self.plain = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+")
+        if [spec.get("normalizer"), spec.get("pre_tokenizer")] != [NORMALIZER, PRE_TOKENIZER]:
+            raise ValueError(f"{path}: texts are normalised or split in a way that is not known here")
+        self.leads = {s[0] for s in self.special}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.packed: dict[str, bytes] = {}
         self.spelt: dict[str, bytes] = {}
@@ -163,7 +177,7 @@ class Bpe:
     def encode_packed(self, text: str) -> tuple[bytes, bytes]:
         """(ids as little-endian unsigned 32-bit integers, decoded text in UTF-8)."""
         at, ids, spelt = 0, [], []
-        for m in self.cut.finditer(text) if self.cut and "<" in text else ():
+        for m in self.cut.finditer(text) if any(x in text for x in self.leads) else ():
             self._segment(text[at : m.start()], ids, spelt)
             ids.append(self.special[m[0]].to_bytes(4, "little"))
             spelt.append(m[0].encode())

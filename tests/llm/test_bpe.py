@@ -91,3 +91,13 @@ def test_decode_column(spark, library):
     assert back == {r.doc_id: r.decoded for r in encoded.collect()} and back[2] == back[3] == ""
     odd = spark.createDataFrame([(None,), ([],), ([10**8, None, 320],)], "ids array<int>")
     assert [r.decoded for r in bpe.decode(odd, path).collect()] == [None, "", library.decode([320], skip_special_tokens=False)]
+
+
+def test_files_that_split_in_another_way_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(queries.tokenizer_path("word_bpe_49k.json"), encoding="utf-8"))
+    spec["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="not known"):
+        bpe.Bpe(str(tmp_path / "other.json"))
