@@ -12,7 +12,8 @@ for a text's features at once. The model is 2^bits floats, whatever the input.
 
 Defined results: a null text is empty, has no features and scores sigmoid(bias); without labels of
 both kinds the score is the labels' smoothed rate; labels that are null or neither 0 nor 1 teach
-nothing; ids with several labels teach once for each; repeated rows are scored one by one.
+nothing; ids with several different labels teach once for each; of documents with one id the text whose
+hash is lowest teaches, so that the sample is bounded in rows; repeated rows are scored one by one.
 """
 
 from __future__ import annotations
@@ -141,7 +142,7 @@ def _train(batches: Iterator[pa.RecordBatch], settings: Ftrl) -> Iterator[pa.Rec
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", settings: Ftrl = Ftrl()) -> np.ndarray:
     """Weights from the rows of docs that have a label and are not held out. Only the model comes to the driver."""
     c.ship(docs.sparkSession)
-    marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("_id").isNotNull())
+    marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("_id").isNotNull()).distinct()
     # the sample is chosen among ids, before any text is read or moved; what is chosen is bounded, so it may be broadcast
     order = F.xxhash64(F.col("_id").cast("string"))
     present = docs.select(F.col(id_col).alias("_present")).distinct()
@@ -149,7 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     # all but about four times the sample is dropped where it lies, so that the sort meets a bounded number of rows
     step = max(1, usable.count() // (4 * settings.max_train_rows))
     chosen = c.materialize(usable.where(F.pmod(order, F.lit(step)) == 0).orderBy(order, "_id", "label").limit(settings.max_train_rows), "train-ids")
-    rows = docs.select(F.col(id_col).alias("_doc"), F.col("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "label", "text")
+    rows = docs.select(F.col(id_col).alias("_doc"), F.col("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "label", c.clean_text().alias("text"))
+    # of an id's texts one, chosen where they lie before any is moved: max_train_rows rows at most
+    rows = rows.groupBy("_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("_id", "label", "t.text")
     ordered = rows.repartition(1).sortWithinPartitions(order, "_id", "label", F.xxhash64("text")).select("text", "label")
     found = ordered.mapInArrow(lambda it: _train(it, settings), "weights binary").first()
     if found is None:  # a partition without rows need not run

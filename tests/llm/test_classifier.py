@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from lakeweave.llm import classifier, queries
 
 
@@ -73,3 +75,21 @@ def test_odd_rows(spark):
     nothing = classifier.train(docs.limit(0), labels.limit(0))
     assert classifier.score(nothing, classifier.Hasher(18).features("a b")) == 0.5
     assert classifier.with_score(docs.limit(0), weights).count() == 0
+
+
+def test_one_text_of_an_id_teaches(spark):
+    """The sample is bounded in rows, and no choice of an order decides which."""
+    docs = spark.createDataFrame([(i % 3, f"text {i % 50} of {i % 3}") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    one = classifier.train(docs, labels)
+    two = classifier.train(docs.repartition(7).union(docs), labels)
+    assert np.array_equal(one, two)
+    order = {r.i: (r.r, r.h) for r in spark.range(3).selectExpr("id as i", "crc32(cast(cast(id as string) as binary)) % 5 as r", "xxhash64(cast(id as string)) as h").collect()}
+    texts = {r.doc_id: r.t for r in docs.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("t")).collect()}
+    hasher, model = classifier.Hasher(18), classifier.Model(classifier.Ftrl())
+    kinds = [0, 0]
+    for i in sorted((i for i in order if order[i][0]), key=lambda i: order[i][1]):
+        model.learn(hasher.features(texts[i]), {0: 1, 1: 0, 2: 1}[i])
+        kinds[{0: 1, 1: 0, 2: 1}[i]] += 1
+    if all(kinds):
+        assert np.array_equal(one, model.packed())
