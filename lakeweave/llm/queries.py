@@ -76,8 +76,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures = warc.archive(c.table(spark, sf_dir, "pages"), warc.new_folder(spark))
-    return warc.read_all(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = c.table(spark, sf_dir, "pages")
+    captures = warc.archive(pages, warc.new_folder(spark))
+    return warc.read_pages(captures, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

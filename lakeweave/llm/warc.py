@@ -8,9 +8,11 @@ and then by their own ids.
 
 Index. Captures are sorted by reversed-host URL key (``org,example,www)/path``) and page id, so that a
 key with a third of all captures is split too, and cut into compressed blocks of ``BLOCK_LINES`` lines
-in shard files. A sparse directory keeps each block's first and last key, shard, offset and length. A
-lookup narrows the directory by its statistics, bisects it, and reads only the blocks' byte ranges,
-then only the records' byte ranges.
+in shard files. Behind its blocks a shard holds a sparse directory, each block's first and last key,
+offset and length; a table of one row a shard says what keys it has. A search sorts the keys that are
+wanted over tasks; each bisects the shards, reads the directory of the one that it is at, bisects that,
+reads the block's byte range and bisects its lines. The records' byte ranges are then read file by file.
+Nothing but the table of shards, one row for each task that wrote the index, comes to the driver.
 
 Files go straight to the folder that the cluster shares, under names no other attempt uses, and are
 known only through tables written after they are closed: a lost or repeated task leaves at most files
@@ -57,7 +59,8 @@ DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 MANIFEST = "urlkey string, page_id long, file string, offset long, length long"
-DIRECTORY = "first_key string, last_key string, shard string, offset long, length long, lines long"
+SHARDS = "first_key string, first_id long, last_key string, last_id long, shard string, offset long, length long, blocks long, lines long"
+WANTED = "urlkey string, page_id long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -178,9 +181,10 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, archive_bytes: int) -
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], folder: str, block_lines: int) -> Iterator[pa.RecordBatch]:
+    """One shard: its blocks, then its directory."""
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    out, name, at, lines, found = None, "", 0, [], []
+    out, name, at, lines, found, total = None, "", 0, [], [], 0
 
     def flush() -> None:
         nonlocal out, name, at, lines
@@ -189,28 +193,33 @@ def _blocks(batches: Iterator[pa.RecordBatch], folder: str, block_lines: int) ->
             out = store.open_output_stream(f"{root}/{name}", compression=None)
         data = gzip_member("".join(lines).encode())
         out.write(data)
-        found.append((lines[0].split("\t", 1)[0], lines[-1].split("\t", 1)[0], name, at, len(data), len(lines)))
+        first, last = (x.split("\t", 2)[:2] for x in (lines[0], lines[-1]))
+        found.append((*first, *last, at, len(data)))
         at += len(data)
         lines = []
 
     for b in batches:
         for row in zip(*(x.to_pylist() for x in b.columns)):
             lines.append("\t".join("" if x is None else str(x) for x in row) + "\n")
+            total += 1
             if len(lines) == block_lines:
                 flush()
     if lines:
         flush()
     if out is not None:
+        directory = gzip_member("".join("\t".join(map(str, x)) + "\n" for x in found).encode())
+        out.write(directory)
         out.close()
-    yield _table(found, DIRECTORY)
+        number = lambda x: int(x) if x else None
+        yield _table([(found[0][0], number(found[0][1]), found[-1][2], number(found[-1][3]), name, at, len(directory), len(found), total)], SHARDS)
 
 
 @dataclass(frozen=True)
 class Captures:
-    """Archives and their index: the folder of files, the written directory table, and the archives' bytes in all."""
+    """Archives and their index: the folder of files, the written table of shards, and the archives' bytes in all."""
 
     folder: str
-    directory: DataFrame
+    shards: DataFrame
     archive_bytes: int
 
 
@@ -226,24 +235,80 @@ def archive(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES, a
     told = rows.join(c.guarded(revisits), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha1") == F.col("_sha1")), "left").drop("_id", "_sha1")
     manifest = c.materialize(told.mapInArrow(lambda it: _write(it, f"{folder}/archives", archive_bytes), MANIFEST), "warc-manifest")
     order = ("urlkey", "page_id", "file", "offset")
-    blocks = manifest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it: _blocks(it, f"{folder}/index", block_lines), DIRECTORY)
-    return Captures(folder, c.materialize(blocks, "warc-directory"), manifest.agg(F.sum("length")).first()[0] or 0)
+    shards = manifest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it: _blocks(it, f"{folder}/index", block_lines), SHARDS)
+    shards, size = c.materialize(shards, "warc-shards"), manifest.agg(F.sum("length")).first()[0] or 0
+    for old in (narrow, revisits, manifest):
+        c.discard(old)
+    return Captures(folder, shards, size)
 
 
 # -- reading -------------------------------------------------------------------------------------
 
 
-def _lines(file, offset: int, length: int) -> list[tuple[str, str, str, int, int]]:
-    text = zlib.decompress(file.read_at(length, offset), 31).decode()
-    return [(k, p, f, int(o), int(n)) for k, p, f, o, n in (x.split("\t") for x in text.split("\n")[:-1])]
+_LEAST = -(1 << 63)
 
 
-def _entries(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    store, root = fs.FileSystem.from_uri(folder)
+def _place(key: str, page_id: str) -> tuple[str, int]:
+    """A capture's place in the index; a null id comes first."""
+    return key, int(page_id) if page_id else _LEAST
+
+
+class _Index:
+    """Searches in ascending order: of directories and blocks, the last one read is kept."""
+
+    def __init__(self, folder: str, shards: list[tuple]):
+        self.store, self.root = fs.FileSystem.from_uri(folder)
+        self.shards = sorted(((k, _LEAST if i is None else i), (m, _LEAST if j is None else j), name, at, n) for k, i, m, j, name, at, n in shards)
+        self.ends = [x[1] for x in self.shards]
+        self.directory: tuple[str, list] = ("", [])
+        self.block: tuple[tuple[str, int], list] = (("", 0), [])
+
+    def _text(self, name: str, offset: int, length: int) -> list[list[str]]:
+        with self.store.open_input_file(f"{self.root}/{name}") as f:
+            text = zlib.decompress(f.read_at(length, offset), 31).decode()
+        return [x.split("\t") for x in text.split("\n")[:-1]]
+
+    def _blocks(self, name: str, offset: int, length: int) -> list:
+        if self.directory[0] != name:
+            self.directory = name, [(_place(k, i), _place(m, j), int(at), int(n)) for k, i, m, j, at, n in self._text(name, offset, length)]
+        return self.directory[1]
+
+    def _lines(self, name: str, offset: int, length: int) -> list:
+        if self.block[0] != (name, offset):
+            self.block = (name, offset), [(_place(k, i), f, int(at), int(n)) for k, i, f, at, n in self._text(name, offset, length)]
+        return self.block[1]
+
+    def find(self, first: tuple[str, int], last: tuple[str, int]) -> Iterator[tuple[str, int, int]]:
+        """(file, offset, length) of the captures from `first` to `last`, both included."""
+        for shard in range(bisect_left(self.ends, first), len(self.shards)):
+            begin, _, name, at, n = self.shards[shard]
+            if begin > last:
+                return
+            blocks = self._blocks(name, at, n)
+            for block in range(bisect_left(blocks, first, key=lambda x: x[1]), len(blocks)):
+                if blocks[block][0] > last:
+                    return
+                lines = self._lines(name, *blocks[block][2:])
+                for line in range(bisect_left(lines, first, key=lambda x: x[0]), len(lines)):
+                    if lines[line][0] > last:
+                        return
+                    yield lines[line][1:]
+
+
+ENTRY = "file string, offset long, length long"
+
+
+def _found(batches: Iterator[pa.RecordBatch], folder: str, shards: list[tuple], any_id: bool) -> Iterator[pa.RecordBatch]:
+    index, out = _Index(folder, shards), []
     for b in batches:
-        for shard, offset, length in zip(*(b.column(n).to_pylist() for n in ("shard", "offset", "length"))):
-            with store.open_input_file(f"{root}/{shard}") as f:
-                yield _table([(name, at, n) for _, _, name, at, n in _lines(f, offset, length)], "file string, offset long, length long")
+        for key, page_id in zip(*(x.to_pylist() for x in b.columns)):
+            own = _LEAST if page_id is None else page_id
+            for entry in index.find((key, _LEAST), (key, 1 << 63)) if any_id else index.find((key, own), (key, own)):
+                out.append(entry)
+                if len(out) >= 10_000:  # a key may have any number of captures
+                    yield _table(out, ENTRY)
+                    out = []
+    yield _table(out, ENTRY)
 
 
 def _records(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
@@ -263,42 +328,38 @@ def _records(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
         file.close()
 
 
-def read_all(captures: Captures) -> DataFrame:
-    """RECORD rows of every capture: index blocks, then each archive's byte ranges in order. The index's rows are short and
-    what they point to is long, so the number of tasks follows the archives' bytes."""
-    folder = captures.folder
-    tasks = max(captures.directory.sparkSession.sparkContext.defaultParallelism, -(-captures.archive_bytes // READ_BYTES))
-    entries = captures.directory.select("shard", "offset", "length").repartition("shard", "offset").mapInArrow(lambda it: _entries(it, f"{folder}/index"), "file string, offset long, length long")
-    by_file = entries.repartition(tasks, "file").sortWithinPartitions("file", "offset")
+def search(captures: Captures, wanted: DataFrame, any_id: bool = False) -> DataFrame:
+    """RECORD rows of the captures with a wanted (urlkey, page_id), each once; with `any_id` those of a wanted urlkey, whatever their id."""
+    folder, spark = captures.folder, captures.shards.sparkSession
+    shards = [tuple(r) for r in captures.shards.select("first_key", "first_id", "last_key", "last_id", "shard", "offset", "length").collect()]
+    shared = spark.sparkContext.broadcast(shards)
+    names = ["urlkey"] if any_id else ["urlkey", "page_id"]
+    keys = wanted.select(*names).distinct()
+    keys = keys.repartitionByRange(*names).sortWithinPartitions(*names).select("urlkey", F.lit(None).cast("long").alias("page_id") if any_id else F.col("page_id"))
+    entries = keys.mapInArrow(lambda it: _found(it, f"{folder}/index", shared.value, any_id), ENTRY)
+    # an entry is short and what it points to is long, so the number of tasks follows the archives' bytes
+    tasks = max(spark.sparkContext.defaultParallelism, -(-captures.archive_bytes // READ_BYTES))
+    by_file = entries.repartition(tasks, "file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
     return by_file.mapInArrow(lambda it: _records(it, f"{folder}/archives"), RECORD)
 
 
-def lookup(captures: Captures, urls: list[str]) -> dict[str, list[tuple]]:
-    """RECORD rows of each url's captures; at most 1000 urls at a time."""
-    if not 0 < len(urls) <= 1000:
-        raise ValueError("look up between 1 and 1000 urls at a time")
-    keys = {u: url_key(u, None) for u in urls}
-    covers = None
-    for k in set(keys.values()):
-        one = (F.col("first_key") <= k) & (F.col("last_key") >= k)
-        covers = one if covers is None else covers | one
-    blocks = sorted(tuple(r) for r in captures.directory.where(covers).select("last_key", "first_key", "shard", "offset", "length").collect())
-    index, root = fs.FileSystem.from_uri(f"{captures.folder}/index")
-    archives, place = fs.FileSystem.from_uri(f"{captures.folder}/archives")
-    out = {}
-    for url, key in keys.items():
-        out[url] = []
-        for _, first, shard, offset, length in blocks[bisect_left(blocks, (key,)) :]:
-            if first > key:
-                continue
-            with index.open_input_file(f"{root}/{shard}") as f:
-                lines = _lines(f, offset, length)
-            for k, _, name, at, n in lines[bisect_left(lines, (key,)) :]:
-                if k != key:
-                    break
-                with archives.open_input_file(f"{place}/{name}") as f:
-                    out[url].append(_row(parse_record(zlib.decompress(f.read_at(n, at), 31))))
-    return out
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids = b.column("page_id").to_pylist()
+        yield _table([(url_key(u, i), i) for u, i in zip(b.column("url").to_pylist(), ids)], WANTED)
+
+
+def read_pages(captures: Captures, pages: DataFrame) -> DataFrame:
+    """RECORD rows of the captures of these pages (page_id, url), each once."""
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"))
+    return search(captures, rows.mapInArrow(_keys, WANTED))
+
+
+def lookup(captures: Captures, urls: list[str]) -> DataFrame:
+    """RECORD rows of all captures of some urls."""
+    spark = captures.shards.sparkSession
+    keys = sorted({(url_key(u, None),) for u in urls})
+    return search(captures, spark.createDataFrame(keys, "urlkey string"), any_id=True)
 
 
 def new_folder(spark: SparkSession) -> str:

@@ -49,7 +49,7 @@ def test_revisits_equal_brute_force(spark, folder):
     rows = [(rng.choice([None, *range(40)]), rng.choice(["http://h.org/1", "http://h.org/2", None]), rng.choice(bodies), "x") for _ in range(120)]
     rows.append(rows[0])
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, sha1 string")
-    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_all(warc.archive(pages, folder)).collect()), key=repr)
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_pages(warc.archive(pages, folder), pages).collect()), key=repr)
     want = []
     for i, _, body, _ in rows:
         data = (body or "").encode()
@@ -62,32 +62,40 @@ def test_revisits_equal_brute_force(spark, folder):
 def test_broadcast_bound_has_another_way(spark, folder, monkeypatch):
     monkeypatch.setattr(c, "BROADCAST_ROWS", 0)
     pages = spark.createDataFrame([(i, f"http://h.org/{i}", "z" * 2000) for i in range(30)], "page_id long, url string, html string")
-    got = warc.read_all(warc.archive(pages, folder)).collect()
+    got = warc.read_pages(warc.archive(pages, folder), pages).collect()
     assert len(got) == 30 and all(r.refers_to == (None if r.page_id == 29 else 29) for r in got)
 
 
-def test_lookup_reads_blocks_by_range(spark, folder):
+def test_search_bisects_shards_directories_and_blocks(spark, folder, monkeypatch):
     urls = [f"http://s{i % 5}.example.org/{i}" for i in range(200)] + ["http://hot.example.net/"] * 100
     pages = spark.createDataFrame([(i, u, f"page {i} " * 30) for i, u in enumerate(urls)], "page_id long, url string, html string")
     captures = warc.archive(pages, folder, archive_bytes=3000, block_lines=7)
-    assert captures.directory.where("lines > 7").count() == 0 and captures.directory.count() > 40
-    found = warc.lookup(captures, [urls[3], urls[150], "http://hot.example.net/", "http://none.example.org/", "http://zzz.zzz/"])
-    assert [r[0] for r in found[urls[3]]] == [3] and [r[0] for r in found[urls[150]]] == [150]
-    assert sorted(r[0] for r in found["http://hot.example.net/"]) == list(range(200, 300))
-    assert found["http://none.example.org/"] == found["http://zzz.zzz/"] == []
+    shards = [tuple(r) for r in captures.shards.select("first_key", "first_id", "last_key", "last_id", "shard", "offset", "length").collect()]
+    assert sum(r.lines for r in captures.shards.collect()) == 300 and sum(r.blocks for r in captures.shards.collect()) > 40
+    by_url = {u: sorted(r.page_id for r in warc.lookup(captures, [u]).collect()) for u in (urls[3], urls[150], "http://hot.example.net/", "http://none.example.org/", "http://zzz.zzz/")}
+    assert list(by_url.values()) == [[3], [150], list(range(200, 300)), [], []]
+    assert warc.lookup(captures, list(by_url)).count() == 102
     store, root = fs.FileSystem.from_uri(f"{folder}/archives")
     assert len(store.get_file_info(fs.FileSelector(root))) > 10
-    with pytest.raises(ValueError):
-        warc.lookup(captures, [])
+    # one capture of the hot key costs one directory and one block
+    index, read = warc._Index(f"{folder}/index", shards), []
+    text = index._text
+    monkeypatch.setattr(index, "_text", lambda *at: (read.append(at), text(*at))[1])
+    key = warc.url_key("http://hot.example.net/", None)
+    assert len(list(index.find((key, 250), (key, 250)))) == 1 and len(read) == 2
+    assert len(list(index.find((key, 251), (key, 251)))) == 1 and len(read) <= 3
+    # every capture by its own key, in any order of the pages
+    assert sorted(r.page_id for r in warc.read_pages(captures, pages.orderBy("page_id")).collect()) == list(range(300))
+    assert warc.read_pages(captures, pages.where("page_id % 50 = 7")).count() == 6
 
 
 def test_empty_table(spark, folder):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     captures = warc.archive(pages, folder)
-    assert warc.read_all(captures).count() == 0 and warc.lookup(captures, ["http://a.b/"]) == {"http://a.b/": []}
+    assert warc.read_pages(captures, pages).count() == 0 and warc.lookup(captures, ["http://a.b/"]).count() == 0
 
 
 def test_long_page(spark, folder):
     pages = spark.createDataFrame([(1, "http://a.b/", "long é" * 500_000)], "page_id int, url string, html string")
-    (row,) = warc.read_all(warc.archive(pages, folder)).collect()
+    (row,) = warc.read_pages(warc.archive(pages, folder), pages).collect()
     assert row.payload_bytes == 3_500_000
