@@ -77,11 +77,11 @@ def clean(spark: SparkSession) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read that: lineage ends there, and lost executors cost no rerun."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -4,8 +4,9 @@ Parsing. Frames are found by resynchronising: a header's sync bits, version, lay
 rate and emphasis must be valid, and the stream must go on behind it with a like header, a tag or its
 end; a candidate that fails is stepped over, and the bytes skipped are counted. ID3v2 (with its
 unsynchronised size), ID3v1 and APE tags are read and left out. A first frame that holds a Xing, Info
-or VBRI table describes the stream and is no audio. CRC-16 of protected layer III frames (of layers I and II it is not read, so 0 good and 0 bad do not say that a stream has none) is verified over header
-and side information. Durations are exact: samples and sampling rate as whole numbers, and every
+or VBRI table describes the stream and is no audio. CRC-16 of protected frames is verified over the header and what the layer protects: the bit allocation
+(I), bit allocation and scale factor selection (II), the side information (III). Frames of free format, whose
+header names no bit rate, are no frames here. Durations are exact: samples and sampling rate as whole numbers, and every
 frame's byte offset is kept for seeking.
 
 Storing. `store` carries any payload losslessly inside a valid stream: MPEG-2 layer III, 16 kHz, mono,
@@ -127,6 +128,61 @@ def crc16(data: bytes) -> int:
     return x
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """The same over the first `bits` bits."""
+    x = crc16(data[: bits // 8])
+    for i in range(bits % 8):
+        x = (x << 1 & 0xFFFF) ^ (0x8005 if x >> 15 ^ (data[bits // 8] >> 7 - i & 1) else 0)
+    return x
+
+
+# Fixed values of ISO/IEC 11172-3 (tables 3-B.2) and 13818-3 (table B.1): how many subbands of layer II have an allocation of how many bits.
+_ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "lsf": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def protected_bits(raw: bytes, h: Header, data: bytes) -> int:
+    """How many bits behind the checksum it protects, in layers I and II; `data` is what stands there. raw: the header."""
+    mode, extension = raw[3] >> 6, raw[3] >> 4 & 3
+    channels = 1 if mode == 3 else 2
+    if h.layer == 1:
+        widths = [4] * 32
+    else:
+        each = h.kbps // channels
+        if h.version != 1:
+            table = "lsf"
+        elif each <= 48:
+            table = "d" if h.hz == 32000 else "c"
+        else:
+            table = "a" if h.hz == 48000 or each <= 80 else "b"
+        widths = [w for n, w in _ALLOCATION[table] for _ in range(n)]
+    bound = min(len(widths), 4 * (extension + 1)) if mode == 1 else len(widths)  # subbands from there on share one allocation
+    bits = sum(w * (channels if sb < bound else 1) for sb, w in enumerate(widths))
+    if h.layer == 1:
+        return bits
+    value, at, chosen = int.from_bytes(data[: (bits + 7) // 8].ljust((bits + 7) // 8, b"\0"), "big") >> -bits % 8, bits, 0
+    for sb, w in enumerate(widths):
+        for _ in range(channels if sb < bound else 1):
+            at -= w
+            if value >> at & (1 << w) - 1:
+                chosen += 1 if sb < bound else channels
+    return bits + 2 * chosen
+
+
+def _checks(data: bytes, at: int, h: Header) -> bool:
+    """Whether a protected frame's checksum is that of what it protects."""
+    want, raw, rest = int.from_bytes(data[at + 4 : at + 6], "big"), data[at : at + 4], data[at + 6 : at + h.length]
+    if h.layer == 3:
+        return crc16(raw[2:] + rest[: h.side_bytes]) == want
+    bits = protected_bits(raw, h, rest)
+    return bits <= 8 * len(rest) and crc16_bits(raw[2:] + rest[: bits // 8 + 1], 16 + bits) == want
+
+
 @dataclass
 class Stream:
     """What `parse` finds."""
@@ -231,8 +287,8 @@ def parse(data: bytes) -> Stream:
             after = header(data[end : end + 4])
             if (in_sync and kind is not None) or end == size or (after is not None and after.kind == h.kind) or _tag_at(data, end, None) > end:
                 main = at + 4 + (2 if h.protected else 0) + h.side_bytes
-                good = not h.protected or h.layer != 3 or crc16(data[at + 2 : at + 4] + data[at + 6 : main]) == int.from_bytes(data[at + 4 : at + 6], "big")
-                if h.protected and h.layer == 3:
+                if h.protected:
+                    good = _checks(data, at, h)
                     out.crc_good += good
                     out.crc_bad += not good
                 if kind is None:
@@ -399,10 +455,5 @@ def with_features(rows: DataFrame, media_col: str = "media", payload: bool = Fal
 
 
 def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """with_features(store_texts(docs), payload=True) in one Python pass: streams are stored, read back and described a
-    slice at a time, and never cross to the JVM."""
-    c.ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    new = {"n_bytes": T.LongType()} | FEATURES | PAYLOAD
-    schema = T.StructType([rows.schema[0], *(T.StructField(n, k) for n, k in new.items())])
-    return rows.mapInArrow(lambda it: _features(_store(it), "media", True), schema)
+    """The media column of store_texts written as a table, and with_features of what is read back from there."""
+    return with_features(c.materialize(store_texts(docs, id_col, text_col), "media", compression="zstd"), payload=True)

@@ -135,3 +135,61 @@ def test_seeking():
     for bad in (Fraction(5760, 16000), -1):
         with pytest.raises(ValueError):
             m.offset_at(s, bad)
+
+
+def bitwise_crc(bits):
+    x = 0xFFFF
+    for b in bits:
+        x = (x << 1 & 0xFFFF) ^ (0x8005 if (x >> 15) ^ b else 0)
+    return x
+
+
+# Allocation widths by subband.
+WIDTHS = {
+    "b": [4] * 11 + [3] * 12 + [2] * 7,
+    "a": [4] * 11 + [3] * 12 + [2] * 4,
+    "c": [4] * 2 + [3] * 6,
+    "d": [4] * 2 + [3] * 10,
+    "lsf": [4] * 4 + [3] * 7 + [2] * 19,
+    "layer I": [4] * 32,
+}
+
+
+@pytest.mark.parametrize(
+    ("head", "table", "channels", "bound"),
+    [
+        ("fffca000", "b", 2, 30),  # layer II, 192 kbit/s, 44.1 kHz, stereo
+        ("fffca050", "b", 2, 8),  # the same, joint stereo from subband 8 on
+        ("fffc44c0", "a", 1, 27),  # 64 kbit/s, 48 kHz, mono
+        ("fffc28c0", "d", 1, 12),  # 48 kbit/s, 32 kHz, mono
+        ("fffc10c0", "c", 1, 8),  # 32 kbit/s, 44.1 kHz, mono
+        ("fff48040", "lsf", 2, 4),  # MPEG-2, joint stereo from subband 4 on
+        ("fffe80c0", "layer I", 1, 32),
+        ("fffe8060", "layer I", 2, 12),
+    ],
+)
+def test_checksums_of_layers_one_and_two(head, table, channels, bound):
+    rng = random.Random(head)
+    raw = bytes.fromhex(head)
+    h = m.header(raw)
+    assert h.layer == (1 if table == "layer I" else 2) and h.protected
+    frames = []
+    for _ in range(6):
+        allocation, chosen = [], 0
+        for sb, w in enumerate(WIDTHS[table]):
+            for _ in range(channels if sb < bound else 1):
+                v = rng.choice([0, rng.randrange(1 << w)])
+                allocation += [v >> i & 1 for i in reversed(range(w))]
+                chosen += (1 if sb < bound else channels) * (v > 0)
+        selection = [rng.randrange(2) for _ in range(0 if table == "layer I" else 2 * chosen)]
+        told = [int(b) for x in raw[2:] for b in f"{x:08b}"] + allocation + selection
+        body = allocation + selection
+        body += [rng.randrange(2) for _ in range(8 * (h.length - 6) - len(body))]
+        frames.append(raw + bitwise_crc(told).to_bytes(2, "big") + int("".join(map(str, body)), 2).to_bytes(h.length - 6, "big"))
+    s = m.parse(b"".join(frames))
+    assert (len(s.offsets), s.crc_good, s.crc_bad) == (6, 6, 0)
+    hurt = bytearray(b"".join(frames))
+    hurt[2 * h.length + 5] ^= 1
+    hurt[4 * h.length + 7] ^= 128
+    s = m.parse(bytes(hurt))
+    assert (len(s.offsets), s.crc_good, s.crc_bad) == (6, 4, 2)
