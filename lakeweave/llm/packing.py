@@ -47,7 +47,7 @@ ROWS_PER_SALT = 20_000
 
 #: Words of up to so many characters are cached, about so many to a worker. A full cache stays as it is, as the commonest
 #: words come first, until it knows less than half of some texts' words.
-CACHE_WORDS, WORD_CHARS = 300_000, 48
+CACHE_WORDS, WORD_CHARS = 500_000, 48
 
 #: The library is asked for so many words at a time.
 CALL_WORDS = 16_000
@@ -130,9 +130,10 @@ class ByteTokens:
             return [self._whole(t) for t in many]
         words = [None if self.odd.search(t) or any(s in t for s in self.special) else self.split.findall(t) for t in many]
         known = self.known
-        here = {w: known.get(w) for w in set().union(*(w for w in words if w))}
-        new = self._ask([w for w, ids in here.items() if ids is None])
-        here |= new
+        every = set().union(*(w for w in words if w))
+        new = self._ask(list(every.difference(known)))
+        old = every.difference(new)
+        here = dict(zip(old, map(known.__getitem__, old))) | new
         if len(known) >= CACHE_WORDS and 2 * len(new) > len(here):
             known.clear()  # other texts than those it was filled from
         if len(known) < CACHE_WORDS:
