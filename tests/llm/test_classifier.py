@@ -1,10 +1,13 @@
 import random
+import zlib
 
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
 from lakeweave.llm import classifier, queries
+from tests.llm import plain_classifier
 
 
 def test_held_out_accuracy(spark):
@@ -93,3 +96,15 @@ def test_one_text_of_an_id_teaches(spark):
         kinds[{0: 1, 1: 0, 2: 1}[i]] += 1
     if all(kinds):
         assert np.array_equal(one, model.packed())
+
+
+def test_query_equals_a_plain_version(spark, sf_dir):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    model = plain_classifier.trained(spark, texts, labels)
+    rows = queries.queries()["op6_quality_classifier"](spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = model.score(texts[r.doc_id])
+        assert r.score == pytest.approx(want, abs=1e-5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert r.predicted == int(r.score >= 0.3)

@@ -6,7 +6,8 @@ import numpy as np
 
 import corpus_pipeline
 from lakeweave.llm import _common as c
-from lakeweave.llm import classifier, oracles, queries
+from lakeweave.llm import oracles, queries
+from tests.llm import plain_classifier
 from tests.llm.test_near_copies import plain
 
 
@@ -28,15 +29,11 @@ def test_stages_against_plain_versions(spark, tmp_path):
 
     # classifier: one model, fed row by row in the order of the ids' hashes
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
-    order = {r.i: (r.r, r.h) for r in spark.createDataFrame([(i,) for i in kept["quality_rules"]], "i long").selectExpr("i", "crc32(cast(cast(i as string) as binary)) % 5 as r", "xxhash64(cast(i as string)) as h").collect()}
-    hasher, model, seen = classifier.Hasher(classifier.Ftrl().bits), classifier.Model(classifier.Ftrl()), set()
-    for i in sorted((i for i in kept["quality_rules"] if i in labels and order[i][0]), key=lambda i: order[i][1]):
-        model.learn(hasher.features(kept["quality_rules"][i].text), labels[i])
-        seen.add(labels[i])
-    weights = model.packed() if len(seen) == 2 else None
-    if weights is not None:
-        want = {i for i, r in kept["quality_rules"].items() if classifier.score(weights, hasher.features(r.text)) >= 0.3}
-        assert set(kept["quality_classifier"]) == want
+    model = plain_classifier.trained(spark, {i: r.text or "" for i, r in kept["quality_rules"].items()}, labels)
+    if model is not None:
+        scores = {i: model.score(r.text or "") for i, r in kept["quality_rules"].items()}
+        assert not [x for x in scores.values() if abs(x - 0.3) < 1e-5]
+        assert set(kept["quality_classifier"]) == {i for i, x in scores.items() if x >= 0.3}
     assert len(kept["quality_classifier"]) > 100
 
     # near-duplicates: every pair's sets of five-word shingles compared
