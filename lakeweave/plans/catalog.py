@@ -92,10 +92,10 @@ _ORDERS_BY_REGION = "FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEF
 def _orders_with_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
     customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    # a nation's region is looked up among the nations before any order meets it; lookups are broadcast by their measured size
-    nation = enrich(read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), [Lookup("region", read(spark, sf_dir, "region"), "n_regionkey", "r_regionkey", {"r_name": "r_name"})])
-    placed = orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
-    return enrich(placed, [Lookup("nation", nation, "c_nationkey", "n_nationkey", {"r_name": "r_name"})])
+    # a nation's region is looked up among the nations before any order meets it; the planner broadcasts both by their files' size
+    region = read(spark, sf_dir, "region")
+    nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "r_name")
+    return orders.join(customer, orders.o_custkey == customer.c_custkey, "left").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
 
 
 @query(f"SELECT r_name, count(*) AS orders {_ORDERS_BY_REGION}")
