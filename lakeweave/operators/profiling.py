@@ -59,13 +59,15 @@ def rows_per_bucket(rows: DataFrame, bucket: str) -> DataFrame:
 
 def file_profile(spark: SparkSession, path: str) -> dict:
     """Files, bytes, row groups and codecs of a Parquet source, its rows, columns and schema. Footers are read on the driver, one file at
-    a time, as a profile of a source at hand needs; for a table's size alone there is `SnapshotTable.active_stats`."""
+    a time, as a profile of a source at hand needs; for a table's size alone there is `SnapshotTable.active_stats`. Empty files have no
+    row group: a writer's first task leaves one for the schema if it gets no rows, as where a split ends before the row group's middle."""
     store = Store(spark)
     files = store.files(path)
     rows = spark.read.parquet(path)
     feet = [store.parquet_footer(f) for f, _ in files]
     return {
         "files": len(files),
+        "empty_files": sum(n == 0 for n, _ in feet),
         "bytes": sum(n for _, n in files),
         "rows": rows.count(),
         "row_groups": sum(n for n, _ in feet),

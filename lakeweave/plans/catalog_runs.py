@@ -286,7 +286,7 @@ def q_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     for codec in ("snappy", "gzip", "zstd"):
         m = lake.table(codec).overwrite(read(spark, sf_dir, "orders"), compression=codec)
         found = profiling.file_profile(spark, f"{lake.root}/{m.segments[0].path}")
-        out.append((",".join(found["codecs"]), found["rows"], found["row_groups"] >= found["files"] > 0))
+        out.append((",".join(found["codecs"]), found["rows"], found["row_groups"] >= found["files"] - found["empty_files"] > 0))
     return from_rows(spark, out, "codec string, rows long, has_groups boolean")
 
 

@@ -58,3 +58,15 @@ def test_small_dimensions_are_broadcast_and_columns_pruned(spark, sf_dir):
     plan = plan_text(catalog.queries()["q_role_playing_dims"](spark, sf_dir))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint,l_quantity:double>" in plan
+
+
+def test_codecs_of_a_source_whose_first_split_has_no_rows(spark, sf_dir):
+    """The first task writes a file without a row group then."""
+    name = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(name, "4096")
+    try:
+        assert catalog.read(spark, sf_dir, "orders").rdd.glom().map(len).first() == 0
+        got = catalog.queries()["q_compression"](spark, sf_dir).collect()
+    finally:
+        spark.conf.unset(name)
+    assert sorted(map(tuple, got)) == [("GZIP", 1500, True), ("SNAPPY", 1500, True), ("ZSTD", 1500, True)]

@@ -138,6 +138,12 @@ def test_file_profile(spark, sf_dir):
     assert out["rows"] == 1500 and out["row_groups"] >= 1 and out["files"] == 1 and out["bytes"] > 0 and out["codecs"]
 
 
+def test_file_profile_of_empty_files(spark, tmp_path):
+    spark.range(0, 8, numPartitions=4).where("id > 3").write.parquet(str(tmp_path / "t"))
+    out = profiling.file_profile(spark, str(tmp_path / "t"))
+    assert (out["files"], out["empty_files"], out["row_groups"], out["rows"]) == (3, 1, 2, 4)
+
+
 def test_signature_ignores_order(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "x int, y string")
     assert layouts.signature(df.orderBy("x").collect()) == layouts.signature(df.select("y", "x").orderBy(F.desc("x")).collect())
