@@ -15,5 +15,6 @@ def reduce_to(rows: DataFrame, grain: Grain, contract: Contract | None = None) -
 
 
 def lower_median(column: str) -> str:
-    """A median that is always a value of the group: of an even number the lower middle one. Sketched in large groups."""
-    return f"percentile_approx({column}, 0.5)"
+    """A median that is always a value of the group: of an even number the lower middle one. Exact, as a double; its state is a count
+    for each distinct value of a group, in partial sums before the shuffle."""
+    return f"percentile_disc(0.5) within group (order by {column})"

@@ -89,6 +89,13 @@ def test_lower_median_and_distinct_sites(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 5.0, 1), (2, 1.0, 2), (3, 2.0, 1), (4, 2.0, 2)]
 
 
+def test_lower_median_of_large_groups(spark):
+    """Partial results of many tasks; each group's median is known."""
+    rows = spark.range(0, 240_000, numPartitions=16).selectExpr("id % 4 as k", "cast((id div 4) * 7919 % 60000 as double) + id % 4 as x")
+    out = reduce_to(rows, Grain(("k",), (("m", lower_median("x")),)))
+    assert sorted(map(tuple, out.collect())) == [(k, 29999.0 + k) for k in range(4)]
+
+
 def test_lookups_keep_every_row_once(spark):
     fact = spark.createDataFrame([(1, 10), (2, 99), (3, None), (4, 10)], "id int, k int")
     dim = spark.createDataFrame([(10, "x"), (11, "y"), (None, "z")], "k int, name string")
