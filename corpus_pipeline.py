@@ -26,7 +26,8 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (0.8 of their five-word shingles or more), that with the smallest id.
 
-    The covering scheme of the operator's fingerprints with a radius that 64 bits can't carry: see near_copies."""
+    SimHash fingerprints meet by covering masks over parts of their bits, a check of the shingles follows; links beyond the radius are
+    found by covering masks over the shingles: see near_copies."""
     return near_copies.keep_one(docs)
 
 

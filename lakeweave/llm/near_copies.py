@@ -1,6 +1,8 @@
 """Near copies by exact similarity: two documents link if the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
 
-The covering scheme of `simhash`, for another radius. A 64-bit fingerprint can't carry it: at a similarity of 0.8 about ten bits
+SimHash fingerprints of the sets come first: candidates of `simhash.near_pairs` (within 15 bits of up to a million fingerprints) are
+compared exactly, and what they join is not compared again. The rest is found by the same covering scheme for another radius, as
+a 64-bit fingerprint can't promise all: at a similarity of 0.8 about ten bits
 differ, and covering fourteen takes 32,767 tables of masks. So the masks lie over the shingles themselves, a bit for each possible
 hash: sets of similarity 0.8 differ in at most D bits, a number that a band of sizes bounds; the masks deal the bits to more than D
 parts, so that some mask sees no difference, and every pair within the radius collides in some table. A key is what a mask sees, about
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 
 from lakeweave.llm import _common as c
 from lakeweave.llm.components import components
-from lakeweave.llm.simhash import SEED, keep_first
+from lakeweave.llm.simhash import SEED, _signed, keep_first, majority, near_pairs
 
 #: Words to a shingle.
 WIDTH = 5
@@ -92,7 +94,10 @@ def keys(found: np.ndarray) -> np.ndarray:
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in c.slices(whole):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_digest(shingles(t).tobytes()) for t in c.texts(b)], pa.binary())], names=["id", "fp"])
+            found = [shingles(t) for t in c.texts(b)]
+            sets, sims = [xxhash.xxh3_128_digest(x.tobytes()) for x in found], [_signed(majority(x)) for x in found]
+            n, bits = pa.array(list(map(len, found)), pa.int64()), pa.array(list(map(parity, found)), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), pa.array(sims, pa.int64()), n, bits], names=["id", "fp", "sim", "n", "bits"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,13 +127,6 @@ def _folded(raw: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, size // 8), axis=0)
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for b in c.slices(whole, 64):
-            found = [shingles(t) for t in c.texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array(list(map(parity, found)), pa.binary())], names=["id", "n", "bits"])
-
-
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose sizes and parities allow a similarity of 0.8."""
     for b in batches:
@@ -166,12 +164,6 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PAIR = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
 
-def _of(rows: DataFrame, wanted: DataFrame, how, schema: str, label: str) -> DataFrame:
-    """What `how` makes of the texts of the wanted ids, written."""
-    few = rows.join(c.guarded(wanted), "id", "left_semi").select("id", "text")
-    return c.materialize(few.mapInArrow(how, schema), label)
-
-
 def _ids(pairs: DataFrame) -> DataFrame:
     return c.materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "near-wanted")
 
@@ -179,7 +171,8 @@ def _ids(pairs: DataFrame) -> DataFrame:
 def _similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs whose sets have a similarity of 0.8 or more."""
     wanted = _ids(pairs)
-    sets = _of(rows, wanted, _sets, "id long, found array<long>", "near-sets")
+    few = rows.join(c.guarded(wanted), "id", "left_semi").select("id", "text")
+    sets = c.materialize(few.mapInArrow(_sets, "id long, found array<long>"), "near-sets")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("found").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("found").alias("b")), "v")
     out = c.materialize(both.where("9 * size(array_intersect(a, b)) >= 4 * (size(a) + size(b))").select("u", "v").distinct(), "near-edges")
     for old in (wanted, sets):
@@ -205,32 +198,55 @@ def _within(members: DataFrame, marks: DataFrame, linked: DataFrame, bucket_node
     return out
 
 
+def _allowed(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs whose sizes and parities allow a similarity of 0.8; marks: (id, n, bits)."""
+    both = pairs.join(marks.select(F.col("id").alias("u"), "n", F.col("bits").alias("x")), "u").join(marks.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("bits").alias("y")), "v")
+    return both.mapInArrow(_close, _PAIR)
+
+
+def _by_fingerprints(nodes: DataFrame, marks: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, sim) -> the pairs of a similarity of 0.8 or more whose fingerprints meet."""
+    groups = c.materialize(nodes.groupBy(F.col("sim").alias("fp")).agg(F.min("id").alias("rep")), "near-fingerprints")
+    pairs = near_pairs(groups)
+    equal = nodes.join(groups, nodes.sim == groups.fp).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
+    near = c.materialize(_allowed(pairs.union(equal).distinct(), marks).distinct(), "near-pairs")
+    out = _similar(near, rows)
+    for old in (groups, pairs, near):
+        c.discard(old)
+    return out
+
+
+def _across(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The pairs whose ends are not joined yet."""
+    one, two = linked.select(F.col("node").alias("u"), F.col("component").alias("a")), linked.select(F.col("node").alias("v"), F.col("component").alias("b"))
+    return pairs.join(one, "u", "left").join(two, "v", "left").where("coalesce(a, u) <> coalesce(b, v)").select("u", "v")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_nodes: int = BUCKET_NODES) -> DataFrame:
     """(id, component_id) for each row whose id is not null."""
     c.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    prints = c.materialize(rows.mapInArrow(_prints, "id long, fp binary"), "near-prints")
-    named = c.materialize(prints.join(prints.groupBy("fp").agg(F.min("id").alias("rep")), "fp").select("id", "rep"), "near-nodes")
+    prints = c.materialize(rows.mapInArrow(_prints, "id long, fp binary, sim long, n long, bits binary"), "near-prints")
+    named = c.materialize(prints.join(prints.groupBy("fp").agg(F.min("id").alias("rep")), "fp").select("id", "rep", "sim", "n", "bits"), "near-nodes")
     copies = c.materialize(named.groupBy("id").agg(F.bool_or(F.col("id") == F.col("rep")).alias("own")).where("not own").select("id"), "near-copies")
+    marks = c.materialize(named.join(c.guarded(copies), "id", "left_anti").select("id", "n", "bits").distinct(), "near-marks")
+    told = _by_fingerprints(named.where("id = rep").select("id", "sim").distinct(), marks, rows)
+    joined = c.materialize(components(told), "near-joined")
     keyed = rows.join(c.guarded(copies), "id", "left_anti").select("id", "text").mapInArrow(_keys, "key long, id long")
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("u"), F.max("id").alias("v")).where("u <> v")
     buckets = c.materialize(buckets, "near-buckets")
     more = c.materialize(buckets.where("k > 2").select("key", "u"), "near-more")  # all but pairs, which the buckets' table holds
     members = c.materialize(keyed.join(c.guarded(more), "key").select("key", "id", "u").distinct(), "near-members")
     stars = c.materialize(buckets.select("u", "v").union(members.select("u", F.col("id").alias("v")).where("u <> v")).distinct(), "near-stars")
-    marks = _of(rows, _ids(stars), _marks, "id long, n long, bits binary", "near-marks")
-    both = stars.join(marks.select(F.col("id").alias("u"), "n", F.col("bits").alias("x")), "u").join(marks.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("bits").alias("y")), "v")
-    close = c.materialize(both.mapInArrow(_close, _PAIR), "near-close")
+    close = c.materialize(_across(_allowed(stars, marks), joined), "near-close")
     first = c.materialize(close.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "near-first")
-    edges = _similar(first, rows)
+    edges = told.union(_similar(first, rows))
     linked = c.materialize(components(edges), "near-linked")
-    one, two = linked.select(F.col("node").alias("u"), F.col("component").alias("a")), linked.select(F.col("node").alias("v"), F.col("component").alias("b"))
-    across = close.join(one, "u", "left").join(two, "v", "left").where("coalesce(a, u) <> coalesce(b, v)").select("u", "v")
-    rest = across.union(_within(members.select("key", "id"), marks, linked, bucket_nodes)).distinct().join(first, ["u", "v"], "left_anti")
+    rest = _across(close, linked).union(_within(members.select("key", "id"), marks, linked, bucket_nodes)).distinct().join(first, ["u", "v"], "left_anti")
     edges = edges.union(_similar(c.materialize(rest, "near-rest"), rows))
     equal = named.where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
     final = c.materialize(components(edges.union(equal)), "near-components")
-    for old in (buckets, more, members, stars, marks, close, first, linked):
+    for old in (joined, buckets, more, members, stars, marks, close, first, linked):
         c.discard(old)
     return prints.select("id").join(final, F.col("id") == final.node, "left").select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"))
 

@@ -40,6 +40,9 @@ BITS, RADIUS, SEED = 64, 3, 42
 #: Up to this many nodes a bucket is compared in one task's memory; larger ones take the linear way.
 BUCKET_ROWS = 8192
 
+#: Fingerprints that may share a key of near_pairs on average.
+PART_NODES = 4096
+
 
 def covering_masks(bits: int = BITS, radius: int = RADIUS) -> list[int]:
     """The masks of the tables: 2^(radius+1) - 1 whole numbers of `bits` bits."""
@@ -64,7 +67,11 @@ def fingerprint(text: str, width: int) -> int:
     digest, seed, joined = xxhash.xxh64_intdigest, SEED, b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[: len(words) - width].tolist()]
-    hashes = [digest(joined[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
+    return majority([digest(joined[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())])
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The number of which a bit is 1 if it is in over half the hashes; zero of none."""
     n = len(hashes)
     total = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 16):
@@ -87,23 +94,53 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(lambda it: _fingerprints(it, id_col, width), T.StructType([T.StructField(id_col, T.LongType()), T.StructField("fp", T.LongType())]))
 
 
-def linked_sets(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each of the fingerprints, the position of the first one in its linked set."""
+def _reached(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the fingerprints, the positions of the first one in its linked set and of one that it links to on the way there."""
     label = np.arange(len(fps))
+    by = np.arange(len(fps))
     rest = np.arange(len(fps))
     while len(rest):
         first, rest, queue = rest[0], rest[1:], [rest[0]]
         while queue and len(rest):
-            near = np.bitwise_count(fps[rest] ^ fps[queue.pop()]) <= radius
+            at = queue.pop()
+            near = np.bitwise_count(fps[rest] ^ fps[at]) <= radius
             if near.any():
                 found = rest[near]
                 label[found] = first
+                by[found] = at
                 queue.extend(found.tolist())
                 rest = rest[~near]
-    return label
+    return label, by
+
+
+def linked_sets(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For each of the fingerprints, the position of the first one in its linked set."""
+    return _reached(fps, radius)[0]
+
 
+def _star(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    label = linked_sets(fps, radius)
+    far = np.flatnonzero(label != np.arange(len(label)))
+    return far, label[far]
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The positions of all pairs within the radius; if they are over four times the fingerprints, of some that span the linked sets."""
+    us, vs, found = [], [], 0
+    for at in range(0, len(fps), 256):
+        u, v = np.nonzero(np.bitwise_count(fps[at : at + 256, None] ^ fps[: at + 256]) <= radius)
+        own = v < u + at
+        us.append(u[own] + at)
+        vs.append(v[own])
+        found += len(us[-1])
+        if found > 4 * len(fps):
+            by = _reached(fps, radius)[1]
+            far = np.flatnonzero(by != np.arange(len(by)))
+            return far, by[far]
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _stars(batches: Iterator[pa.RecordBatch], radius: int = RADIUS, how=_star) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lists = b.column(0)
         rows, ends = lists.flatten(), np.asarray(lists.offsets)
@@ -111,14 +148,13 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fps, reps = np.asarray(rows.field(0)).view(np.uint64), np.asarray(rows.field(1))
         sizes = np.diff(ends)
         at = ends[:-1][sizes == 2]
-        near = at[np.bitwise_count(fps[at] ^ fps[at + 1]) <= RADIUS]
+        near = at[np.bitwise_count(fps[at] ^ fps[at + 1]) <= radius]
         us, vs = [reps[near]], [reps[near + 1]]
         for i in np.flatnonzero(sizes > 2):
             own = slice(ends[i], ends[i + 1])
-            label = linked_sets(fps[own])
-            far = np.flatnonzero(label != np.arange(len(label)))
+            far, first = how(fps[own], radius)
             us.append(reps[own][far])
-            vs.append(reps[own][label[far]])
+            vs.append(reps[own][first])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
 
@@ -128,19 +164,46 @@ def _flips(mask: int) -> list[int]:
     return [0, *free, *(a | b for a, b in combinations(free, 2))]
 
 
+def _keyed(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    return nodes.select("fp", "rep", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks))).alias("t", "key"))
+
+
+def parted_masks(parts: int) -> list[int]:
+    """The masks over each of 1, 2 or 4 equal parts of the bits: of fingerprints within 4 * parts - 1 bits one part differs in at most three."""
+    own = BITS // parts
+    return [m << own * i for i in range(parts) for m in covering_masks(own)]
+
+
+def near_pairs(nodes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(fp, rep) with distinct fp -> (u, v) of reps with u < v, candidates for a check of the texts: pairs within 15 bits of up to a million
+    fingerprints, 7 bits of up to 500 million, else 3, as parts with more differences make keys of fewer bits. In a bucket of at most
+    `bucket_rows` these are all pairs, or where they are many some that span what they link; in a larger one each node meets the least."""
+    c.ship(nodes.sparkSession)
+    n = nodes.count()
+    parts = 4 if n <= PART_NODES << 8 else 2 if n <= PART_NODES << 17 else 1
+    radius, keyed = 4 * parts - 1, _keyed(nodes, parted_masks(parts))
+    shared = c.materialize(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1"), "simhash-shared")
+    few, many = (shared.where(F.col("n") <= bucket_rows), shared.where(F.col("n") > bucket_rows))
+    edge = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+    met = keyed.join(c.guarded(few), ["t", "key"]).groupBy("t", "key").agg(F.collect_list(F.struct("fp", "rep")).alias("rows"))
+    found = met.select("rows").mapInArrow(lambda it: _stars(it, radius, _pairs), edge)
+    stars = keyed.join(c.guarded(many), ["t", "key"]).select(F.col("least").alias("u"), F.col("rep").alias("v")).where("u <> v")
+    out = c.materialize(found.union(stars).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-pairs")
+    c.discard(shared)
+    return out
+
+
 def links(nodes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(fp, rep) with distinct fp -> (u, v) of reps, spanning all nodes that are linked within a table's bucket."""
     spark = nodes.sparkSession
     c.ship(spark)
-    keyed = nodes.select(
-        "fp", "rep", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in MASKS))).alias("t", "key")
-    )
+    keyed = _keyed(nodes, MASKS)
     # most buckets hold one node: they are counted with partial sums, and only nodes of the others move on
     shared = c.materialize(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-shared")
     meet = c.materialize(keyed.join(c.guarded(shared), ["t", "key"]), "simhash-buckets")
     edge = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
     small = meet.where(F.col("n") <= bucket_rows).groupBy("t", "key").agg(F.collect_list(F.struct("fp", "rep")).alias("rows"))
-    found = small.select("rows").mapInArrow(_stars, edge)
+    found = small.select("rows").mapInArrow(lambda it: _stars(it), edge)
     big = meet.where(F.col("n") > bucket_rows)
     if big.isEmpty():
         return found

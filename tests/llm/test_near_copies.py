@@ -98,3 +98,18 @@ def test_a_common_passage_in_large_buckets(spark):
     for nodes in (2048, 7):
         got = {r.doc_id: r.component_id for r in nc.near_copies(docs, bucket_nodes=nodes).collect()}
         assert got == {i: root(i) for i in sets}
+
+
+def test_fingerprints_find_similar_pairs(spark):
+    """The stage's SimHash step against every pair: near copies whose fingerprints differ by up to 15 bits, most by more than three."""
+    from lakeweave.llm import simhash
+
+    rng = random.Random(8)
+    fps = [rng.getrandbits(64) for _ in range(150)]
+    fps += [x ^ sum(1 << i for i in rng.sample(range(64), rng.randint(1, 17))) for x in fps]
+    nodes = spark.createDataFrame([(simhash._signed(x), i) for i, x in enumerate(fps)], "fp long, rep long")
+    got = {tuple(r) for r in simhash.near_pairs(nodes).collect()}
+    want = {(i, j) for j, y in enumerate(fps) for i, x in enumerate(fps[:j]) if (x ^ y).bit_count() <= 15}
+    assert got == want and sum((fps[i] ^ fps[j]).bit_count() > 3 for i, j in want) > 80
+    least = {tuple(r) for r in simhash.near_pairs(nodes, bucket_rows=2).collect()}
+    assert least and all(i < j for i, j in least)
