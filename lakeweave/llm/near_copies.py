@@ -1,7 +1,7 @@
 """Near copies by exact similarity: two documents link if the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
 
-SimHash fingerprints of the sets come first: candidates of `simhash.near_pairs` (within 15 bits of up to a million fingerprints) are
-compared exactly, and what they join is not compared again. The rest is found by the same covering scheme for another radius, as
+SimHash fingerprints of the sets come first: candidates of `simhash.near_pairs` (within 15 bits of up to a million fingerprints; those that
+sizes and parities of 256 bits rule out go no further than their bucket) are compared exactly, and what they join is not compared again. The rest is found by the same covering scheme for another radius, as
 a 64-bit fingerprint can't promise all: at a similarity of 0.8 about ten bits
 differ, and covering fourteen takes 32,767 tables of masks. So the masks lie over the shingles themselves, a bit for each possible
 hash: sets of similarity 0.8 differ in at most D bits, a number that a band of sizes bounds; the masks deal the bits to more than D
@@ -46,6 +46,9 @@ WIDTH = 5
 #: Nodes of a bucket that are compared in one task's memory at once.
 BUCKET_NODES = 2048
 
+#: A set's parity as 256 bits, beside its fingerprint.
+MARKS = [f"m{i}" for i in range(4)]
+
 #: Pairs that a task remembers having told.
 TOLD_PAIRS = 200_000
 
@@ -96,8 +99,10 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in c.slices(whole):
             found = [shingles(t) for t in c.texts(b)]
             sets, sims = [xxhash.xxh3_128_digest(x.tobytes()) for x in found], [_signed(majority(x)) for x in found]
-            n, bits = pa.array(list(map(len, found)), pa.int64()), pa.array(list(map(parity, found)), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), pa.array(sims, pa.int64()), n, bits], names=["id", "fp", "sim", "n", "bits"])
+            n, bits = pa.array(list(map(len, found)), pa.int64()), list(map(parity, found))
+            marks = np.stack([_folded(x, 8 * len(MARKS)) for x in bits]).view(np.int64)
+            columns = [b.column(0), pa.array(sets, pa.binary()), pa.array(sims, pa.int64()), n, pa.array(bits, pa.binary()), *map(pa.array, marks.T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "sim", "n", "bits", *MARKS])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +132,12 @@ def _folded(raw: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, size // 8), axis=0)
 
 
+def may_be_similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sizes and short parities allow a similarity of 0.8; of rows (n, *MARKS)."""
+    n, m, odd = x[..., 0], y[..., 0], (x[..., 1:] ^ y[..., 1:]).view(np.uint64)
+    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * np.bitwise_count(odd).sum(axis=-1, dtype=np.int64) <= n + m)
+
+
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose sizes and parities allow a similarity of 0.8."""
     for b in batches:
@@ -205,9 +216,10 @@ def _allowed(pairs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def _by_fingerprints(nodes: DataFrame, marks: DataFrame, rows: DataFrame) -> DataFrame:
-    """(id, sim) -> the pairs of a similarity of 0.8 or more whose fingerprints meet."""
-    groups = c.materialize(nodes.groupBy(F.col("sim").alias("fp")).agg(F.min("id").alias("rep")), "near-fingerprints")
-    pairs = near_pairs(groups)
+    """(id, sim, n, *MARKS) -> the pairs of a similarity of 0.8 or more whose fingerprints meet."""
+    least = nodes.groupBy(F.col("sim").alias("fp")).agg(F.min(F.struct(F.col("id").alias("rep"), "n", *MARKS)).alias("l"))
+    groups = c.materialize(least.select("fp", "l.*"), "near-fingerprints")
+    pairs = near_pairs(groups, close=may_be_similar)
     equal = nodes.join(groups, nodes.sim == groups.fp).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
     near = c.materialize(_allowed(pairs.union(equal).distinct(), marks).distinct(), "near-pairs")
     out = _similar(near, rows)
@@ -226,11 +238,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, component_id) for each row whose id is not null."""
     c.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    prints = c.materialize(rows.mapInArrow(_prints, "id long, fp binary, sim long, n long, bits binary"), "near-prints")
-    named = c.materialize(prints.join(prints.groupBy("fp").agg(F.min("id").alias("rep")), "fp").select("id", "rep", "sim", "n", "bits"), "near-nodes")
+    prints = c.materialize(rows.mapInArrow(_prints, f"id long, fp binary, sim long, n long, bits binary, {', '.join(f'{m} long' for m in MARKS)}"), "near-prints")
+    named = c.materialize(prints.join(prints.groupBy("fp").agg(F.min("id").alias("rep")), "fp").select("id", "rep", "sim", "n", "bits", *MARKS), "near-nodes")
     copies = c.materialize(named.groupBy("id").agg(F.bool_or(F.col("id") == F.col("rep")).alias("own")).where("not own").select("id"), "near-copies")
     marks = c.materialize(named.join(c.guarded(copies), "id", "left_anti").select("id", "n", "bits").distinct(), "near-marks")
-    told = _by_fingerprints(named.where("id = rep").select("id", "sim").distinct(), marks, rows)
+    told = _by_fingerprints(named.where("id = rep").select("id", "sim", "n", *MARKS).distinct(), marks, rows)
     joined = c.materialize(components(told), "near-joined")
     keyed = rows.join(c.guarded(copies), "id", "left_anti").select("id", "text").mapInArrow(_keys, "key long, id long")
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("u"), F.max("id").alias("v")).where("u <> v")

@@ -22,7 +22,7 @@ join groups of rows with ids; their component is the smallest id in reach, or nu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -94,8 +94,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(lambda it: _fingerprints(it, id_col, width), T.StructType([T.StructField(id_col, T.LongType()), T.StructField("fp", T.LongType())]))
 
 
-def _reached(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the fingerprints, the positions of the first one in its linked set and of one that it links to on the way there."""
+def _reached(fps: np.ndarray, radius: int, allowed: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the fingerprints, the positions of the first one in its linked set and of one that it links to on the way there;
+    links are those of `allowed` (positions of two nodes -> whether), if given."""
     label = np.arange(len(fps))
     by = np.arange(len(fps))
     rest = np.arange(len(fps))
@@ -104,6 +105,8 @@ def _reached(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         while queue and len(rest):
             at = queue.pop()
             near = np.bitwise_count(fps[rest] ^ fps[at]) <= radius
+            if allowed:
+                near[near] = allowed(rest[near], at)
             if near.any():
                 found = rest[near]
                 label[found] = first
@@ -124,23 +127,29 @@ def _star(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return far, label[far]
 
 
-def _pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The positions of all pairs within the radius; if they are over four times the fingerprints, of some that span the linked sets."""
-    us, vs, found = [], [], 0
-    for at in range(0, len(fps), 256):
-        u, v = np.nonzero(np.bitwise_count(fps[at : at + 256, None] ^ fps[: at + 256]) <= radius)
-        own = v < u + at
-        us.append(u[own] + at)
-        vs.append(v[own])
-        found += len(us[-1])
-        if found > 4 * len(fps):
-            by = _reached(fps, radius)[1]
-            far = np.flatnonzero(by != np.arange(len(by)))
-            return far, by[far]
+def _pairs(fps: np.ndarray, radius: int, allowed: Callable | None) -> tuple[np.ndarray, np.ndarray]:
+    """The positions of the allowed pairs within the radius, of each node that with the first one before it; if a node has more, also
+    some that span the linked sets. So they are fewer than twice the nodes, however many are alike."""
+    us, vs, more = [], [], False
+    step = max(1, (1 << 19) // len(fps))
+    for at in range(0, len(fps), step):
+        u, v = np.nonzero(np.tril(np.bitwise_count(fps[at : at + step, None] ^ fps[: at + step]) <= radius, at - 1))
+        if allowed:
+            own = allowed(u + at, v)
+            u, v = u[own], v[own]
+        node, first = np.unique(u, return_index=True)
+        more = more or len(node) < len(u)
+        us.append(node + at)
+        vs.append(v[first])
+    if more:
+        by = _reached(fps, radius, allowed)[1]
+        far = np.flatnonzero(by != np.arange(len(by)))
+        us.append(far)
+        vs.append(by[far])
     return np.concatenate(us), np.concatenate(vs)
 
 
-def _stars(batches: Iterator[pa.RecordBatch], radius: int = RADIUS, how=_star) -> Iterator[pa.RecordBatch]:
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lists = b.column(0)
         rows, ends = lists.flatten(), np.asarray(lists.offsets)
@@ -148,16 +157,34 @@ def _stars(batches: Iterator[pa.RecordBatch], radius: int = RADIUS, how=_star) -
         fps, reps = np.asarray(rows.field(0)).view(np.uint64), np.asarray(rows.field(1))
         sizes = np.diff(ends)
         at = ends[:-1][sizes == 2]
-        near = at[np.bitwise_count(fps[at] ^ fps[at + 1]) <= radius]
+        near = at[np.bitwise_count(fps[at] ^ fps[at + 1]) <= RADIUS]
         us, vs = [reps[near]], [reps[near + 1]]
         for i in np.flatnonzero(sizes > 2):
             own = slice(ends[i], ends[i + 1])
-            far, first = how(fps[own], radius)
+            far, first = _star(fps[own], RADIUS)
             us.append(reps[own][far])
             vs.append(reps[own][first])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
 
+def _met(batches: Iterator[pa.RecordBatch], radius: int, close: Callable | None) -> Iterator[pa.RecordBatch]:
+    """The pairs of each bucket's rows (rep, fp, marks ...), taken by their reps, so that a group gives much the same ones in every table."""
+    for b in batches:
+        lists = b.column(0)
+        ends = np.asarray(lists.offsets)
+        ends = ends - ends[0]
+        columns = [np.asarray(x) for x in lists.flatten().flatten()]
+        order = np.lexsort((columns[0], np.repeat(np.arange(len(lists)), np.diff(ends))))
+        reps, fps, *marks = (x[order] for x in columns)
+        fps, marks = fps.view(np.uint64), np.stack(marks, axis=1) if close else None
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            u, v = _pairs(fps[i:j], radius, close and (lambda u, v, own=marks[i:j]: close(own[u], own[v])))
+            us.append(reps[i:j][u])
+            vs.append(reps[i:j][v])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+
 def _flips(mask: int) -> list[int]:
     """All patterns of at most 2 flipped bits outside the mask."""
     free = [1 << i for i in range(BITS) if not mask >> i & 1]
@@ -165,7 +192,7 @@ def _flips(mask: int) -> list[int]:
 
 
 def _keyed(nodes: DataFrame, masks: list[int]) -> DataFrame:
-    return nodes.select("fp", "rep", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks))).alias("t", "key"))
+    return nodes.select("*", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks))).alias("t", "key"))
 
 
 def parted_masks(parts: int) -> list[int]:
@@ -174,19 +201,22 @@ def parted_masks(parts: int) -> list[int]:
     return [m << own * i for i in range(parts) for m in covering_masks(own)]
 
 
-def near_pairs(nodes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(fp, rep) with distinct fp -> (u, v) of reps with u < v, candidates for a check of the texts: pairs within 15 bits of up to a million
-    fingerprints, 7 bits of up to 500 million, else 3, as parts with more differences make keys of fewer bits. In a bucket of at most
-    `bucket_rows` these are all pairs, or where they are many some that span what they link; in a larger one each node meets the least."""
+def near_pairs(nodes: DataFrame, bucket_rows: int = BUCKET_ROWS, close: Callable | None = None) -> DataFrame:
+    """(fp, rep, long marks ...) with distinct fp -> (u, v) of reps with u < v, candidates for a check of the texts: pairs within 15 bits of up
+    to a million fingerprints, 7 bits of up to 500 million, else 3, as parts with more differences make keys of fewer bits. `close` (marks
+    of some nodes, marks of as many others -> whether) keeps those that can't be similar from going on. In a bucket of at most
+    `bucket_rows` each node goes on with the first one before it, and where there are more, with some that span what they link; in a
+    larger one each node meets the least. So the pairs are in proportion to the nodes of the buckets, not to the squares of groups."""
     c.ship(nodes.sparkSession)
     n = nodes.count()
     parts = 4 if n <= PART_NODES << 8 else 2 if n <= PART_NODES << 17 else 1
     radius, keyed = 4 * parts - 1, _keyed(nodes, parted_masks(parts))
-    shared = c.materialize(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1"), "simhash-shared")
-    few, many = (shared.where(F.col("n") <= bucket_rows), shared.where(F.col("n") > bucket_rows))
+    shared = c.materialize(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("of"), F.min("rep").alias("least")).where("of > 1"), "simhash-shared")
+    few, many = (shared.where(F.col("of") <= bucket_rows).select("t", "key"), shared.where(F.col("of") > bucket_rows))
     edge = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
-    met = keyed.join(c.guarded(few), ["t", "key"]).groupBy("t", "key").agg(F.collect_list(F.struct("fp", "rep")).alias("rows"))
-    found = met.select("rows").mapInArrow(lambda it: _stars(it, radius, _pairs), edge)
+    marks = [x for x in nodes.columns if x not in ("fp", "rep")]
+    met = keyed.join(c.guarded(few), ["t", "key"]).groupBy("t", "key").agg(F.collect_list(F.struct("rep", "fp", *marks)).alias("rows"))
+    found = met.select("rows").mapInArrow(lambda it: _met(it, radius, close), edge)
     stars = keyed.join(c.guarded(many), ["t", "key"]).select(F.col("least").alias("u"), F.col("rep").alias("v")).where("u <> v")
     out = c.materialize(found.union(stars).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-pairs")
     c.discard(shared)

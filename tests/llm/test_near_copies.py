@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from lakeweave.llm import near_copies as nc
 
@@ -113,3 +115,27 @@ def test_fingerprints_find_similar_pairs(spark):
     assert got == want and sum((fps[i] ^ fps[j]).bit_count() > 3 for i, j in want) > 80
     least = {tuple(r) for r in simhash.near_pairs(nodes, bucket_rows=2).collect()}
     assert least and all(i < j for i, j in least)
+
+
+def test_large_groups_give_few_candidates(spark, monkeypatch):
+    """Near copies of one text, and documents that share a passage but are not similar: what leaves the fingerprints' buckets is counted."""
+    rng = random.Random(9)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    met, near_pairs = [], nc.near_pairs
+
+    def counted(*given, **named):
+        met.append(near_pairs(*given, **named).count())
+        raise InterruptedError  # the rest of the stage is not looked at
+
+    monkeypatch.setattr(nc, "near_pairs", counted)
+
+    def candidates(texts):
+        with pytest.raises(InterruptedError):
+            nc.near_copies(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"))
+        return met[-1]
+
+    base, passage = fresh(120), fresh(110)
+    one = [[*base[:k], *fresh(1), *base[k + 1 :]] for k in (rng.randrange(len(base)) for _ in range(240))]
+    assert len(one) // 2 < candidates(one) < 15 * len(one)
+    apart = [[*fresh(22), *passage, *fresh(22)] for _ in range(240)]
+    assert candidates(apart) < len(apart)
